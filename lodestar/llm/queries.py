@@ -32,10 +32,31 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, folder)
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.pieces import digests
+
+    return digests(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.fingerprints import fingerprint_pairs
+
+    return fingerprint_pairs(_documents(spark, sf_dir))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.quality import judge
+
+    return judge(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op8_token_binary": op8_token_binary,
+        "op9_piece_codec": op9_piece_codec,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 

@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Stretches held by one Python worker; the cache is emptied when it is full.
-CACHE_ENTRIES = 600_000
+#: Stretches held by one Python worker besides those of one batch; the cache is emptied when it is full.
+CACHE_ENTRIES = 1_000_000
 
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -31,22 +31,53 @@ class WordIds:
         self.kind, self.entries = kind, entries
         self.cache: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
+        self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0] if kind == "byte" else None
 
     def _fill(self, cache: dict, missing: list[str], lead: str) -> None:
-        if len(cache) + len(missing) > self.entries:
-            cache.clear()
-        plain = [w for w in missing if w and not (w[0].isspace() or w[-1].isspace())] if self.kind == "byte" else missing
-        if len(plain) < len(missing):
-            cache.update(dict.fromkeys(missing))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+        if self.kind != "byte":
+            for at in range(0, len(missing), 20_000):
+                part = missing[at : at + 20_000]
+                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                    cache[w] = np.array(e.ids, "<u4").tobytes()
+            return
+        lines, joined = [], []
+        for w in missing:
+            if not w or w[0].isspace() or w[-1].isspace():
+                cache[w] = None
+            elif "\n" in w:
+                joined.append(w)
+            else:
+                lines.append(w)
+        for w in joined:
+            if all(p and not (p[0].isspace() or p[-1].isspace()) for p in w.split("\n")):
+                lines += [] if (p := w.partition("\n")[0]) in cache else [p]
+        # a line break is a token of its own, so one call encodes many stretches
+        lines = list(dict.fromkeys(lines))
+        for at in range(0, len(lines), 64):
+            part = lines[at : at + 64]
+            ids = np.array(self.tok.encode_batch_fast([lead + f"\n{lead}".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.newline)
+            raw, left = ids.tobytes(), 0
+            for w, cut in zip(part, [*cuts.tolist(), len(ids)]):
+                cache[w] = raw[4 * left : 4 * cut]
+                left = cut + 1
+        if joined:
+            rest = [p.split("\n") for p in joined]
+            tails = {p for w, ps in zip(joined, rest) for p in ps[1:] if p and not (p[0].isspace() or p[-1].isspace()) and p not in self.first}
+            if tails:
+                self._fill(self.first, list(tails), "")
+            gap = np.array([self.newline], "<u4").tobytes()
+            for w, ps in zip(joined, rest):
+                got = [cache.get(ps[0]) if ps[0] else None, *(self.first.get(p) for p in ps[1:])]
+                cache[w] = self.whole(lead + w) if None in got else gap.join(got)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache) + len(self.first) > self.entries:
+            self.cache.clear()
+            self.first.clear()
         return self._bytes(texts) if self.kind == "byte" else self._words(texts)
 
     def _words(self, texts: list[str | None]) -> list[bytes]:
@@ -57,9 +88,6 @@ class WordIds:
             new.update(ws)
         missing = [w for w in new if w not in cache]
         if missing:
-            if len(cache) + len(missing) > self.entries:
-                cache.clear()
-                missing = list(new)
             self._fill(cache, missing, "")
         get = cache.__getitem__
         return [self.whole(t) if t and _CONTROL.search(t) else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
@@ -74,9 +102,6 @@ class WordIds:
         for cache, seen, lead in ((self.first, heads, ""), (self.cache, new, " ")):
             missing = [w for w in seen if w not in cache]
             if missing:
-                if len(cache) + len(missing) > self.entries:
-                    cache.clear()
-                    missing = list(seen)
                 self._fill(cache, missing, lead)
         get, out = self.cache.__getitem__, []
         for t, ws in zip(texts, split):
