@@ -1,6 +1,6 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-A text's words are hashed; of every run of five words the four hashes of word pairs are compared, and
+A text's words (the code points of a text under SHORT of them) are hashed; of every run of five words the four hashes of word pairs are compared, and
 the run is an anchor if the smallest stands first or last. Whether a run is an anchor depends on its own
 words alone, so an edit elsewhere leaves it in place. A fingerprint lists ``position:hash`` of the
 anchors in order. A text without an anchor (few words) has one, of all its words, at position 0.
@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 from lodestar.llm import scratch
 
 K, S = 5, 2
+#: Code points under which code points stand for words; such a text is like other short texts only.
+SHORT = 256
 _SPACES = "[\\x20\\x09-\\x0D]+"
 _TRIM = " \t\n\x0b\f\r"
 #: Quantiles of doc_id between which buckets are spread evenly.
@@ -36,7 +38,7 @@ def _let(value: Column, body) -> Column:
 
 def anchors(text: Column) -> Column:
     """Struct of anchor positions and 32-bit anchor hashes of a text."""
-    words = F.split(F.btrim(text, F.lit(_TRIM)), _SPACES)
+    words = F.when(F.length(text) < SHORT, F.split(text, "")).otherwise(F.split(F.btrim(text, F.lit(_TRIM)), _SPACES))
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     none = F.struct(F.array(F.lit(0)).alias("at"), F.array(F.shiftrightunsigned(F.xxhash64(hashes), 32)).alias("hash"))
 
