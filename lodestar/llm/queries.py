@@ -32,6 +32,12 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, folder)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.substring_dedup import removal_digests
+
+    return removal_digests(_documents(spark, sf_dir), min_words=50)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.pieces import digests
 
@@ -52,6 +58,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op8_token_binary": op8_token_binary,
