@@ -32,6 +32,12 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, folder)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.substring_dedup import removal_digests
 
@@ -58,6 +64,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
