@@ -44,6 +44,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_documents(spark, sf_dir), min_words=50)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.line_dedup import removal_digests
+
+    return removal_digests(_documents(spark, sf_dir))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.pieces import digests
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
+        "op7_line_dedup": op7_line_dedup,
         "op8_token_binary": op8_token_binary,
         "op9_piece_codec": op9_piece_codec,
         "op10_fingerprints": op10_fingerprints,

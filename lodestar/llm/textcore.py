@@ -72,12 +72,12 @@ def groups(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end byte of every word; a document's edge ends a word."""
+def spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end byte of every word; a document's edge ends a word, as do bytes marked in ``between``."""
     n = len(data)
     solid = np.empty(n + 2, bool)
     solid[0] = solid[-1] = False
-    np.logical_not(_SPACE[data], out=solid[1:-1])
+    np.logical_not(between[data], out=solid[1:-1])
     begins = solid[1:-1] & ~solid[:-2]
     ends = solid[1:-1] & ~solid[2:]
     inner = offs[1:-1]
