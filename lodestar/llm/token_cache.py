@@ -16,6 +16,7 @@ import numpy as np
 #: Stretches held by one Python worker besides those of one batch; the cache is emptied when it is full.
 CACHE_ENTRIES = 1_000_000
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
@@ -32,44 +33,70 @@ class WordIds:
         self.cache: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0] if kind == "byte" else None
+        self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        if kind != "byte":
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _fill(self, cache: dict, missing: list[str], lead: str) -> None:
-        if self.kind != "byte":
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-            return
-        lines, joined = [], []
+        """Encode stretches not held yet, in parts that the split keeps apart.
+
+        Letters with punctuation after them are two parts, and a lone line break is one of its own.
+        """
+        alone, parts = [], {}
         for w in missing:
-            if not w or w[0].isspace() or w[-1].isspace():
+            if self.newline is not None and (not w or w[0].isspace() or w[-1].isspace()):
                 cache[w] = None
-            elif "\n" in w:
-                joined.append(w)
+            elif self.newline is not None and "\n" in w:
+                rows = w.split("\n")
+                if all(p and not (p[0].isspace() or p[-1].isspace()) for p in rows):
+                    parts[w] = rows
+                else:
+                    cache[w] = self.whole(lead + w)
+            elif (core := w.rstrip(_MARKS)) and len(core) < len(w) and core.isalpha() and core.lower().isalpha():
+                parts[w] = [core, w[len(core) :]]
+            else:
+                alone.append(w)
+        heads, tails = dict.fromkeys(alone), set()
+        for p in parts.values():
+            if p[0] not in cache:
+                heads[p[0]] = None
+            tails.update(p[1:])
+        if nested := [p for p in heads if p not in cache and p[-1:] in _MARKS and p not in alone]:
+            for p in nested:
+                del heads[p]
+            self._fill(cache, nested, lead)
+        self._encode(cache, list(heads), lead)
+        if tails := [p for p in tails if p not in self.first]:
+            self._fill(self.first, tails, "")
+        gap = b"" if self.newline is None else np.array([self.newline], "<u4").tobytes()
+        for w, p in parts.items():
+            got = [cache[p[0]], *(self.first[x] for x in p[1:])]
+            cache[w] = self.whole(lead + w) if None in got else (gap if "\n" in w else b"").join(got)
+
+    def _encode(self, cache: dict, stretches: list[str], lead: str) -> None:
+        if self.newline is not None:
+            together, rest, gap = stretches, [], f"\n{lead}"
+        else:
+            together = [w for w in stretches if w.isalpha() and w.lower().isalpha()]
+            rest, gap = [w for w in stretches if not (w.isalpha() and w.lower().isalpha())], " "
+        for at in range(0, len(together), 64):
+            part = together[at : at + 64]
+            ids = np.array(self.tok.encode_batch_fast([lead + gap.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            if self.newline is not None:
+                cuts, skip = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)], 1
             else:
-                lines.append(w)
-        for w in joined:
-            if all(p and not (p[0].isspace() or p[-1].isspace()) for p in w.split("\n")):
-                lines += [] if (p := w.partition("\n")[0]) in cache else [p]
-        # a line break is a token of its own, so one call encodes many stretches
-        lines = list(dict.fromkeys(lines))
-        for at in range(0, len(lines), 64):
-            part = lines[at : at + 64]
-            ids = np.array(self.tok.encode_batch_fast([lead + f"\n{lead}".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.newline)
+                cuts, skip = (np.flatnonzero(self.ends[ids]) + 1).tolist(), 0
+            if len(cuts) != len(part):
+                rest += part
+                continue
             raw, left = ids.tobytes(), 0
-            for w, cut in zip(part, [*cuts.tolist(), len(ids)]):
+            for w, cut in zip(part, cuts):
                 cache[w] = raw[4 * left : 4 * cut]
-                left = cut + 1
-        if joined:
-            rest = [p.split("\n") for p in joined]
-            tails = {p for w, ps in zip(joined, rest) for p in ps[1:] if p and not (p[0].isspace() or p[-1].isspace()) and p not in self.first}
-            if tails:
-                self._fill(self.first, list(tails), "")
-            gap = np.array([self.newline], "<u4").tobytes()
-            for w, ps in zip(joined, rest):
-                got = [cache.get(ps[0]) if ps[0] else None, *(self.first.get(p) for p in ps[1:])]
-                cache[w] = self.whole(lead + w) if None in got else gap.join(got)
+                left = cut + skip
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for w, e in zip(part, self.tok.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
+                cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -83,7 +110,7 @@ class WordIds:
     def _words(self, texts: list[str | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
         new: set[str] = set()
-        cache = self.cache
+        cache = self.first = self.cache
         for ws in split:
             new.update(ws)
         missing = [w for w in new if w not in cache]
