@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.textcore import buffers, hash_spans, spans
 
 PATH, WORDS, SHARES, HIDDEN = 256, 256, 9, 24
-TRAIN_PAGES, EPOCHS, SEED = 1500, 6, 20240229
+TRAIN_PAGES, EPOCHS, SEED = 2400, 7, 20240229
 #: Cells (pages times longest page) that are labelled at once; a longer page is labelled alone.
 CELLS = 8192
 FADE = 0.85
@@ -52,7 +52,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[b for b in range(128) if not chr(b).isalnum()]] = True
 #: Marks main text in labelled pages; taken out before anything reads the words.
-_MARK = ""
+_MARK = "\ue000"
 
 
 @functools.lru_cache(1 << 14)
@@ -181,7 +181,7 @@ def features(pages: list[Page]) -> np.ndarray:
     own = np.repeat(np.arange(n), n_words)
     slot = (hash_spans(data, start, end, True) % np.uint64(WORDS)).astype(np.int64)
     bag = np.bincount(own * WORDS + slot, minlength=n * WORDS).reshape(n, WORDS)
-    out[:, PATH : PATH + WORDS] = bag / np.sqrt(np.maximum(n_words, 1))[:, None]
+    out[:, PATH : PATH + WORDS] = np.minimum(bag / np.sqrt(np.maximum(n_words, 1))[:, None], 1)
     per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offs]) / np.maximum(np.diff(offs), 1)
     blocks = np.concatenate([np.full(len(p.texts), len(p.texts)) for p in pages])
     place = np.concatenate([np.arange(len(p.texts)) for p in pages])
@@ -378,6 +378,12 @@ def _words(rng: random.Random, n: int) -> str:
     roll = rng.random()
     if roll < 0.05:
         return " ".join(w + rng.choice(["###", "***", "%%%", "$$$", "&amp;"]) for w in out)
+    if roll < 0.08:
+        return " ".join(out[:1] * n)
+    if roll < 0.1:
+        return " | ".join(out)
+    if roll < 0.14:
+        return " ".join(rng.choice([w, w, str(rng.randrange(10**rng.randint(1, 12))), f"{w}@example.com", "+1 (555) 010-0199", f"http://{w}.example.org/"]) for w in out)
     return text if roll < 0.4 else text + "." if not text.endswith((".", ",")) else text
 
 
@@ -429,7 +435,7 @@ def _main(rng: random.Random, title: str) -> str:
         parts = [f"<header>{parts[0]}</header>"]
     if rng.random() < 0.25:
         parts.append(f'<p class="{rng.choice(["byline", "meta", "author", "date", "dateline"])}">{mark("By " + _words(rng, 2))}</p>')
-    for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6, 8, 12, 18])):
+    for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 4, 6, 8, 12, 18])):
         roll, n = rng.random(), rng.choice([1, 2, 5, 10, 20, 40, 80, 150])
         text = mark(_words(rng, n))
         if rng.random() < 0.15:
