@@ -103,10 +103,10 @@ WITH RECURSIVE w AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), both AS (
+), shared AS (
   SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), e AS (
-  SELECT u, v FROM both JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+  SELECT u, v FROM shared JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
 ), r(doc_id, root) AS (
   SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id WHERE r.root < e.v
 ), m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
@@ -117,11 +117,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.
 #: Windows of 50 words, the first document of each, and the words that remain.
 _SUBSTRINGS = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
-), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS at FROM w
-), h AS (SELECT doc_id, at, md5(array_to_string(ws[at:at + 49], ' ')) AS g FROM p
+), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i0 FROM w
+), h AS (SELECT doc_id, i0, md5(array_to_string(ws[i0:i0 + 49], ' ')) AS g FROM p
 ), f AS (SELECT g, min(doc_id) AS first FROM h GROUP BY g
-), gone AS (SELECT h.doc_id, h.at FROM h JOIN f USING (g) WHERE h.doc_id > f.first
-), covered AS (SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS i FROM gone
+), gone AS (SELECT h.doc_id, h.i0 FROM h JOIN f USING (g) WHERE h.doc_id > f.first
+), covered AS (SELECT DISTINCT doc_id, unnest(range(i0, i0 + 50)) AS i FROM gone
 ), removed AS (SELECT doc_id, list(i) AS items FROM covered GROUP BY doc_id
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(items), 0)::BIGINT AS n_removed,

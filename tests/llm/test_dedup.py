@@ -175,7 +175,7 @@ def brute_lines(rows):
 
 def test_fuzzy_lines_match_brute_force(spark):
     rng, base = random.Random(6), random.Random(1)
-    stock = [sentence(base, 14) for _ in range(6)]
+    stock = [sentence(base, n) for n in (14, 14, 30, 60, 90, 120)]
     rows = []
     for k in range(70):
         own = []
