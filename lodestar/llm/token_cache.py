@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,6 +19,17 @@ CACHE_ENTRIES = 1_000_000
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = re.compile("[\x1c-\x1f]")
+_LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: a printable byte is its own character, the others follow from U+0100 on in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordIds:
@@ -29,6 +41,7 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tok.model
         self.kind, self.entries = kind, entries
         self.cache: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
@@ -56,12 +69,12 @@ class WordIds:
                 parts[w] = [core, w[len(core) :]]
             else:
                 alone.append(w)
-        heads, tails = dict.fromkeys(alone), set()
+        known, heads, tails = frozenset(alone), dict.fromkeys(alone), set()
         for p in parts.values():
             if p[0] not in cache:
                 heads[p[0]] = None
             tails.update(p[1:])
-        if nested := [p for p in heads if p not in cache and p[-1:] in _MARKS and p not in alone]:
+        if nested := [p for p in heads if p not in cache and p[-1:] in _MARKS and p not in known]:
             for p in nested:
                 del heads[p]
             self._fill(cache, nested, lead)
@@ -73,7 +86,21 @@ class WordIds:
             got = [cache[p[0]], *(self.first[x] for x in p[1:])]
             cache[w] = self.whole(lead + w) if None in got else (gap if "\n" in w else b"").join(got)
 
+    def _letters(self, w: str, lead: str) -> bytes:
+        """A run of Latin letters is one part of the split, so the library's merges can be asked for directly."""
+        text = lead + w if self.newline is not None else w.lower()
+        if lead or not text.isascii():
+            text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def _encode(self, cache: dict, stretches: list[str], lead: str) -> None:
+        letters, others = _LETTERS.fullmatch, []
+        for w in stretches:
+            if letters(w):
+                cache[w] = self._letters(w, lead)
+            else:
+                others.append(w)
+        stretches = others
         if self.newline is not None:
             together, rest, gap = stretches, [], f"\n{lead}"
         else:
