@@ -35,7 +35,11 @@ def dale_chall(docs: DataFrame, familiar: DataFrame | None = None, id_col: str =
 
 def weighted_tags(pages: DataFrame, tags: dict[str, int], id_col: str = "page_id", html: str = "html") -> DataFrame:
     """``docid, term, extra``: counts to add for words inside the named elements; a tag's weight for each occurrence."""
-    parts = [F.transform(T.tokens(F.array_join(F.regexp_extract_all(F.col(html), F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}>"), F.lit(1)), " ")), lambda t, w=weight: F.struct(t.alias("term"), F.lit(w).alias("w"))) for tag, weight in tags.items()]
+    def weighed(tag: str, weight: int) -> Column:
+        inside = F.regexp_extract_all(F.col(html), F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+        return F.transform(T.tokens(F.array_join(inside, " ")), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    parts = [weighed(tag, weight) for tag, weight in tags.items()]
     flat = pages.select(F.col(id_col).alias("docid"), F.explode(F.concat(*parts)).alias("x"))
     return flat.groupBy("docid", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("extra"))
 
