@@ -40,10 +40,10 @@ from lodestar.llm.textcore import U, buffers, groups, mix, words
 
 ORDER, K, LARGE = 3, 5, 0.05
 #: Bytes of text in a chunk (a longer document is a chunk of its own) and for each bucket.
-CHUNK_BYTES, BUCKET_BYTES = 1 << 23, 10 << 20
+CHUNK_BYTES, BUCKET_BYTES = 1 << 22, 10 << 20
 END, START = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
 _STEP = U(0x9E3779B97F4A7C15)
-_CHUNKS = "part long, docs binary, nulls binary, sizes binary, held binary, words binary, tokens binary"
+_CHUNKS = "part long, docs binary, nulls binary, sizes binary, held binary, words array<binary>, tokens binary"
 _COUNTS = "bucket int, ord int, part long, keys binary, counts binary, held binary"
 _ANSWERS = "bucket int, ord int, part long, counts binary, owned binary, wanted binary, " + ", ".join(f"n{r} long" for r in range(1, K + 2)) + ", types long, total long"
 _SUMS = "bucket int, ord int, part long, keys binary, seen binary, lower binary, total binary, docs binary, times binary"
@@ -79,15 +79,17 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Numbers, non-negative ones in the narrowest type, compressed."""
+    """Numbers, non-negative ones in the narrowest type; first bytes, then second ones and so on, compressed."""
     if x.dtype.kind in "iub":
         x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-    raw = x.tobytes()
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
     return f"{x.dtype.str:4}{len(raw):12}".encode() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack_numbers(blob: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob[16:], int(blob[4:16]), codec="zstd", asbytes=True), blob[:4].decode().strip())
+    kind = np.dtype(blob[:4].decode().strip())
+    raw = np.frombuffer(pa.decompress(blob[16:], int(blob[4:16]), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _bits(blob: bytes, n: int) -> np.ndarray:
@@ -108,11 +110,16 @@ class Chunk:
     @classmethod
     def read(cls, batch: pa.RecordBatch | pa.Table, i: int) -> Chunk:
         get = lambda name: batch[name][i].as_py()
-        vocabulary = unpack_sorted(get("words"))
-        return cls(get("part"), *(np.frombuffer(get(n), t) for n, t in (("docs", np.int64), ("nulls", bool), ("sizes", np.int64), ("held", bool))), vocabulary[np.frombuffer(get("tokens"), np.uint32)])
+        vocabulary = np.concatenate([unpack_sorted(b) for b in get("words")] or [np.zeros(0, U)])
+        return cls(get("part"), *(np.frombuffer(get(n), t) for n, t in (("docs", np.int64), ("nulls", bool), ("sizes", np.int64), ("held", bool))), vocabulary[unpack_numbers(get("tokens"))])
 
-    def events(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def events(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(distinct keys, place of each event's key among them) of the orders 1 to ``order``; an event is a token or an end."""
+        for key in self.keys(order):
+            yield np.unique(key, return_inverse=True)
+
+    def keys(self, order: int) -> Iterator[np.ndarray]:
+        """Key of every event, for the orders 1 to ``order``."""
         pad, docs = order - 1, len(self.sizes)
         whole = self.sizes + 1 + pad
         edge = np.concatenate([[0], np.cumsum(whole)])
@@ -124,14 +131,13 @@ class Chunk:
         word = event.copy()
         word[ends] = False
         h[word], h[ends] = self.hashes, END
-        out, key = [], h
+        key = h
         for n in range(1, order + 1):
             if n > 1:
                 longer = h.copy()
                 longer[1:] = mix(key[:-1] * _STEP + h[1:])
                 key = longer
-            out.append(np.unique(key[event], return_inverse=True))
-        return out
+            yield key[event]
 
     @property
     def first(self) -> np.ndarray:
@@ -152,10 +158,14 @@ def _chunks(hold: Hold):
             nonlocal part
             ids = rows.column(0).to_pylist()
             h, w = words(*buffers(rows.column(1)), True)
-            vocabulary, at = np.unique(h, return_inverse=True)
+            vocabulary, at, times = np.unique(h, return_inverse=True, return_counts=True)
+            often = -np.log2(times).astype(np.int64)  # words of about one frequency stand together, frequent ones first
+            order = np.argsort(often, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            runs = np.split(vocabulary[order], np.flatnonzero(np.diff(often[order])) + 1)
             cols = [np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), np.diff(w).astype(np.int64), np.array([hold(d) for d in ids])]
-            blobs = [*(c.tobytes() for c in cols), pack_sorted(vocabulary), at.astype(np.uint32).tobytes()]
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["part", "docs", "nulls", "sizes", "held", "words", "tokens"])
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.array([[pack_sorted(r) for r in runs]], pa.list_(pa.binary())), pa.array([pack_numbers(place[at])], pa.binary())], names=["part", "docs", "nulls", "sizes", "held", "words", "tokens"])
             part += 1
             return out
 
@@ -180,20 +190,23 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _requests(order: int, buckets: int):
+def _requests(n: int, buckets: int):
+    """Distinct keys of order ``n`` of every chunk with their training counts, and whether a held-out document has them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk.read(batch, i)
                 train = chunk.train()
-                for n, (keys, at) in enumerate(chunk.events(order), 1):
-                    counts, cut = np.bincount(at[train], minlength=len(keys)), _cuts(keys, buckets)
-                    held = np.zeros(len(keys), bool)
-                    held[at[~train]] = True
-                    own = np.flatnonzero(np.diff(cut))
-                    spans = [(cut[b], cut[b + 1]) for b in own.tolist()]
-                    arrays = [pa.array(own, pa.int32()), pa.array([n] * len(own), pa.int32()), pa.array([chunk.part] * len(own), pa.int64()), pa.array([pack_sorted(keys[a:z]) for a, z in spans], pa.binary()), pa.array([pack_numbers(counts[a:z]) for a, z in spans], pa.binary()), pa.array([pack_numbers(np.packbits(held[a:z])) for a, z in spans], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "ord", "part", "keys", "counts", "held"])
+                *_, key = chunk.keys(n)
+                keys, at = np.unique(key, return_inverse=True)
+                counts, cut = np.bincount(at[train], minlength=len(keys)), _cuts(keys, buckets)
+                held = np.zeros(len(keys), bool)
+                held[at[~train]] = True
+                own = np.flatnonzero(np.diff(cut))
+                spans = [(cut[b], cut[b + 1]) for b in own.tolist()]
+                arrays = [pa.array(own, pa.int32()), pa.array([n] * len(own), pa.int32()), pa.array([chunk.part] * len(own), pa.int64()), pa.array([pack_sorted(keys[a:z]) for a, z in spans], pa.binary()), pa.array([pack_numbers(counts[a:z]) for a, z in spans], pa.binary()), pa.array([pack_numbers(np.packbits(held[a:z])) for a, z in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "ord", "part", "keys", "counts", "held"])
 
     return run
 
@@ -312,7 +325,7 @@ def _score(order: int, buckets: int, stats: Statistics):
         for n in range(1, order + 1):
             rows = right.filter(pa.array(orders == n))
             lower_keys, lower_at, lower_count, lower_local, lower_wanted = keys, at, count, local, wanted
-            keys, at = events[n - 1]
+            keys, at = next(events)
             types = np.concatenate([unpack_numbers(b).astype(np.int64) for b in rows["counts"].to_pylist()])
             sizes = np.diff(_cuts(keys, buckets))
             owned, asked_for = (np.concatenate([_bits(b, m) for b, m in zip(rows[c].to_pylist(), sizes[sizes > 0].tolist())]) for c in ("owned", "wanted"))
@@ -414,7 +427,10 @@ def _finish(stats: Statistics):
 
 @dataclass
 class Model:
-    """Written tables: chunks of token ids, answered counts; buckets, order and statistics."""
+    """Written tables: chunks of token ids, answered counts; buckets, order and statistics.
+
+    :meth:`drop` deletes the tables; scores that :func:`score` has returned don't need them.
+    """
 
     chunks: DataFrame
     answers: DataFrame
@@ -422,6 +438,10 @@ class Model:
     order: int
     stats: Statistics
 
+    def drop(self) -> None:
+        scratch.drop(self.chunks)
+        scratch.drop(self.answers)
+
 
 def fit(docs: DataFrame, order: int = ORDER, hold: Hold = every_seventh) -> Model:
     """Count the n-grams of the documents that ``hold`` doesn't hold out."""
@@ -430,7 +450,11 @@ def fit(docs: DataFrame, order: int = ORDER, hold: Hold = every_seventh) -> Mode
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(scratch.shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     chunks = scratch.table(rows.mapInArrow(_chunks(hold), _CHUNKS), "katz-chunks")
-    answers = scratch.table(chunks.mapInArrow(_requests(order, buckets), _COUNTS).groupBy("bucket", "ord").applyInArrow(_answer, _ANSWERS), "katz-answers")
+    answers = None
+    for n in range(1, order + 1):  # one order after another: only one order's keys are in shuffle files at a time
+        part = scratch.table(chunks.mapInArrow(_requests(n, buckets), _COUNTS).groupBy("bucket", "ord").applyInArrow(_answer, _ANSWERS), "katz-answers")
+        scratch.release(spark)
+        answers = part if answers is None else answers.unionByName(part)
     trained = chunks.select("held").mapInArrow(_trained, "n long").agg(F.sum("n")).first()[0] or 0
     return Model(chunks, answers, buckets, order, statistics(answers, trained))
 
@@ -444,6 +468,7 @@ def score(model: Model) -> DataFrame:
     """Counts, unigram base score and log10 probability of every document of the model's table."""
     answered = model.answers.filter("part is not null").select("part", "ord", "bucket", "counts", "owned", "wanted")
     states = scratch.table(model.chunks.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_score(model.order, model.buckets, model.stats), _SUMS), "katz-states")
+    scratch.release(model.chunks.sparkSession)
     weighed = states.filter("bucket >= 0").groupBy("bucket", "ord").applyInArrow(_weigh_row, "bucket int, " + _PARTIAL)
     return states.filter("bucket < 0").groupBy("part").cogroup(weighed.groupBy("part")).applyInArrow(_finish(model.stats), _DOCS)
 
@@ -463,6 +488,7 @@ def _grams(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 def tables(docs: DataFrame, path: str, order: int = ORDER, hold: Hold = every_seventh) -> Model:
     """Fit, and write the counts as ``bucket, key, n`` partitioned by order, sorted within buckets."""
     model = fit(docs, order, hold)
-    grams = model.chunks.mapInArrow(_requests(order, model.buckets), _COUNTS).groupBy("bucket", "ord").applyInArrow(_grams, _GRAMS)
-    grams.write.partitionBy("ord").option("compression", "zstd").parquet(path)
+    for n in range(1, order + 1):
+        grams = model.chunks.mapInArrow(_requests(n, model.buckets), _COUNTS).groupBy("bucket", "ord").applyInArrow(_grams, _GRAMS)
+        grams.drop("ord").write.option("compression", "zstd").parquet(f"{path}/ord={n}")
     return model

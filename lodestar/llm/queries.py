@@ -20,7 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.katz import fit, score
 
-    return score(fit(_documents(spark, sf_dir)))
+    model = fit(_documents(spark, sf_dir))
+    scores = score(model)
+    model.drop()
+    return scores
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,5 +36,25 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None, codec
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the tables of :func:`table` that ``df`` reads, when nothing is to be read from them again."""
+    spark = df.sparkSession
+    own = folder(spark).split(":", 1)[-1].lstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.split(":", 1)[-1].lstrip("/").startswith(own):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's JVM collects garbage, which on a quiet driver may be long after a table
+    that ends a plan was written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

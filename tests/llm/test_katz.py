@@ -95,7 +95,10 @@ def test_every_context_sums_to_one():
 
 
 def test_held_out_text_is_likelier_than_by_the_base(spark, sf_dir):
-    rows = katz.score(katz.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))).filter("held_out").collect()
+    model = katz.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    scores = katz.score(model)
+    model.drop()
+    rows = scores.filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
