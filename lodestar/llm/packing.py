@@ -27,6 +27,8 @@ _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 #: Documents in a randomised group.
 GROUP_DOCUMENTS = 4096
 FILLER_TOKENS = 48
+#: Stretches of text that a worker holds with their ids; it keeps them while it works on other stages.
+CACHE_ENTRIES = 400_000
 SLICE = 256
 
 
@@ -84,7 +86,7 @@ def _pieces(tokenizer: str, kind: str, end_id: int, length: int, filler: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, slot = encoder(tokenizer, kind), np.random.Generator(np.random.PCG64(TaskContext.get().partitionId()))
+        enc, slot = encoder(tokenizer, kind, CACHE_ENTRIES), np.random.Generator(np.random.PCG64(TaskContext.get().partitionId()))
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)

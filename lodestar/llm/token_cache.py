@@ -167,11 +167,12 @@ class WordIds:
         return out
 
 
-_held: dict[tuple[str, str], WordIds] = {}
+_held: dict[tuple[str, str, int], WordIds] = {}
 
 
-def encoder(path: str, kind: str) -> WordIds:
-    """One encoder per worker process and vocabulary."""
-    if (path, kind) not in _held:
-        _held[path, kind] = WordIds(path, kind)
-    return _held[path, kind]
+def encoder(path: str, kind: str, entries: int = CACHE_ENTRIES) -> WordIds:
+    """One encoder per worker process, vocabulary and size of cache."""
+    key = (path, kind, entries)
+    if key not in _held:
+        _held[key] = WordIds(*key)
+    return _held[key]
