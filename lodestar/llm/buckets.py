@@ -1,9 +1,12 @@
 """Links between the rows of hash buckets, without all pairs of a bucket.
 
 A row is (key, node, n, sketch). Each row is first compared with its bucket's first row and with the one
-before it in order of n. Links that the caller confirms are joined into components; then the rows of
-buckets that still hold several components are compared across components, a bucket of over BLOCK rows
-in pairs of blocks dealt to different tasks. No pair that could join two components is left out.
+before it in order of n. Links that are confirmed are joined into components; then the rows of buckets
+that still hold several components are compared across components by their sketches. What comes out is
+not the likely pairs but a forest that spans them; its trees are clusters, and the contents of a cluster's
+nodes meet once, a large cluster in pairs of blocks dealt to different tasks, to be compared in full.
+A task gives only links that join what it had not joined yet. No pair that could join two components is
+left out.
 """
 
 from __future__ import annotations
@@ -19,10 +22,14 @@ from pyspark.sql import functions as F
 from lodestar.llm import scratch
 from lodestar.llm.components import components
 
-#: Rows of a bucket that one task compares at once on one side.
-BLOCK = 2048
+#: Rows of a bucket or cluster that one task compares at once on one side, and bytes of their contents.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: (n1, sketch1, n2, sketch2) to whether a pair is worth confirming.
 Likely = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Whether two nodes' contents make a link.
+Agrees = Callable[[bytes, bytes], bool]
+#: Nodes (one column ``node``) to ``node, content binary``; a node may have several contents.
+Fetch = Callable[[DataFrame], DataFrame]
 ROWS = "key long, node long, n int, sketch long"
 
 
@@ -75,66 +82,117 @@ def _neighbours(likely: Likely, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
 
-def _across(likely: Likely, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely links between different components of a block pair; rows come in order of key, i, j."""
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Stretches of rows that agree in ``names``; rows come in that order."""
     held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ident = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names])
+        edges = [0, *(np.flatnonzero((ident[:, 1:] != ident[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            now = tuple(ident[:, a].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(u: list[int], v: list[int]) -> pa.RecordBatch:
+    a, b = np.array(u, np.int64), np.array(v, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
 
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _across(likely: Likely, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest over the likely links between different components of a block pair."""
+    for rows in _groups(batches, ("key", "i", "j")):
         node, n, sketch, comp, side = (rows[c].to_numpy() for c in ("node", "n", "sketch", "comp", "side"))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        tree, u, v = np.arange(len(node)), [], []
         for at in range(0, len(left), 256):
             i, j = left[at : at + 256, None], right[None, :]
             ok = (comp[i] != comp[j]) & likely(n[i], sketch[i], n[j], sketch[j])
-            a, b = np.nonzero(ok)
-            x, y = node[i[a, 0]], node[right[b]]
-            pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-    names = ("key", "i", "j")
+            for row in np.flatnonzero(ok.any(axis=1)).tolist():
+                a = left[at + row]
+                met = right[ok[row]]
+                trees, first = np.unique(tree[met], return_index=True)
+                new = trees != tree[a]
+                if new.any():
+                    u += [node[a]] * int(new.sum())
+                    v += node[met[first[new]]].tolist()
+                    tree[np.isin(tree, trees[new])] = tree[a]
+        yield _pairs(u, v)
+
+
+def _settle(likely: Likely, agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components of a block pair of a cluster, the likeliest pairs tried first."""
+    for rows in _groups(batches, ("key", "i", "j")):
+        node, n, sketch, comp, side = (rows[c].to_numpy() for c in ("node", "n", "sketch", "comp", "side"))
+        content = rows["content"].to_pylist()
+        comp, u, v = comp.copy(), [], []
+        right = np.flatnonzero(side != 0)
+        for a in np.flatnonzero(side != 1).tolist():
+            other = right[(comp[right] != comp[a]) & ((side[right] != side[a]) | (right > a))]
+            other = other[likely(n[a : a + 1], sketch[a : a + 1], n[other], sketch[other])]
+            for b in other[np.argsort(np.bitwise_count((sketch[other] ^ sketch[a]).view(np.uint64)), kind="stable")].tolist():
+                if comp[a] != comp[b] and agrees(content[a], content[b]):
+                    u.append(node[a])
+                    v.append(node[b])
+                    comp[comp == comp[b]] = comp[a]
+        yield _pairs(u, v)
+
+
+def _confirmed(agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = 0
-        ident = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names])
-        cuts = np.flatnonzero((ident[:, 1:] != ident[:, :-1]).any(axis=0)) + 1 if batch.num_rows else np.zeros(0, int)
-        if held and batch.num_rows and tuple(held[-1][c][held[-1].num_rows - 1].as_py() for c in names) != tuple(ident[:, 0].tolist()):
-            cuts = np.concatenate([[0], cuts])
-        for cut in cuts.tolist():
-            if cut > at:
-                held.append(batch.slice(at, cut - at))
-            if held:
-                yield from compare(pa.Table.from_batches(held))
-            held, at = [], cut
-        if at < batch.num_rows:
-            held.append(batch.slice(at))
-    if held:
-        yield from compare(pa.Table.from_batches(held))
+        keep = pa.array([agrees(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
 
+def _confirm(pairs: DataFrame, fetch: Fetch, agrees: Agrees) -> DataFrame:
+    content = scratch.table(fetch(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "bucket-contents")
+    both = pairs.join(content.select(F.col("node").alias("v"), F.col("content").alias("b")), "v").join(content.select(F.col("node").alias("u"), F.col("content").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(partial(_confirmed, agrees), "u long, v long").distinct()
 
-def _block_rows(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt out in block pairs (i, j) of at most BLOCK rows a side."""
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).filter("low <> high").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).select("key", "blocks")
-    placed = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows in block pairs (i, j) of their key; ``sizes`` has the number of blocks of each key."""
+    placed = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     pair = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     own = F.col("own")
     dealt = F.when(F.col("blocks") == 1, F.array(pair(own, own, 2))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.when(x == own, pair(own, own, 2)).when(x < own, pair(x, own, 1)).otherwise(pair(own, x, 0)))
     )
-    return placed.withColumn("p", F.explode(dealt)).select("key", "p.i", "p.j", "p.side", "node", "n", "sketch", "comp")
+    return placed.withColumn("p", F.explode(dealt)).select("p.i", "p.j", "p.side", *rows.columns)
+
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``key, blocks`` of the buckets that hold several components; of buckets with the same rows one."""
+    seen = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("low <> high")
+    return seen.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
 
-def link(keyed: DataFrame, likely: Likely, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, root) of the nodes that are not roots of their component.
 
-    ``keyed`` has the columns of ROWS; ``confirm`` returns the pairs (u, v) that are links.
-    """
+def link(keyed: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees) -> DataFrame:
+    """(id, root) of the nodes that are not roots of their component. ``keyed`` has the columns of ROWS."""
     shared = scratch.table(keyed.repartition(F.col("key")).sortWithinPartitions("key", "n", "node").mapInArrow(_shared, ROWS), "buckets")
     order = shared.repartition(F.col("key")).sortWithinPartitions("key", "n", "node")
     pairs = scratch.table(order.mapInArrow(partial(_neighbours, likely), "u long, v long").distinct(), "bucket-pairs")
-    links = scratch.table(confirm(pairs), "bucket-links")
+    links = scratch.table(_confirm(pairs, fetch, agrees), "bucket-links")
     roots = components(links)
     labelled = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "sketch", F.coalesce("root", "node").alias("comp"))
-    rest = _block_rows(labelled).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j").mapInArrow(partial(_across, likely), "u long, v long")
-    rest = scratch.table(rest.distinct().join(pairs, ["u", "v"], "left_anti"), "bucket-rest")
-    if rest.isEmpty():
+    labelled = scratch.table(labelled, "bucket-labels")
+    spread = _dealt(labelled, _mixed(labelled)).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    forest = scratch.table(spread.mapInArrow(partial(_across, likely), "u long, v long").distinct(), "bucket-forest")
+    if forest.isEmpty():
         return roots
-    more = scratch.table(confirm(rest), "bucket-links")
+    named = forest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    clusters = named.join(components(forest).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("key"))
+    about = labelled.select("node", "n", "sketch", "comp").join(named, "node", "left_semi").distinct()
+    rows = scratch.table(clusters.join(about, "node").join(fetch(named), "node").select("key", "node", "n", "sketch", "comp", "content"), "bucket-clusters")
+    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("content")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    spread = _dealt(rows, sizes).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    more = scratch.table(spread.mapInArrow(partial(_settle, likely, agrees), "u long, v long").distinct(), "bucket-links")
     return roots if more.isEmpty() else components(links.unionByName(more))

@@ -3,8 +3,8 @@
 Two collections of M short bands of Q hashes are computed; the key of table (i, j) combines band i of the
 first with band j of the second, so M * M tables of 2 Q hashes cost 2 M Q hashes. Texts with one shingle
 set are one node. In each bucket a node is compared with the bucket's first node and with the one before
-it; once the verified links have been joined into components, what a bucket still holds in different
-components is compared in full. Every link is confirmed on whole shingle sets; links inside a component
+it; once the verified links have been joined into components, what buckets still hold in different
+components is gathered into clusters and compared in full. Every link is confirmed on whole shingle sets; links inside a component
 that is joined already add nothing and are not looked up.
 
 Two sets with the least likeness asked for (0.85) are missed with a chance of about 2 * (1 - 0.85**Q)**M
@@ -108,31 +108,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = batch.column(0)
         for lo, sets in shingle_sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([nodes.slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([nodes.slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "content"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
-
+def _agrees(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose whole sets agree enough; ``rows`` has node and text.
 
-    Rows that share an id are all tried: a link of any of their sets is a link of the id.
-    """
-    named = scratch.table(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "minhash-named")
+def _contents(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Whole shingle sets of the named nodes; rows that share an id but differ give several sets, each of which counts."""
+    named = scratch.table(named, "minhash-named")
     few = named.count() <= BROADCAST_NODES
     own = rows.join(F.broadcast(named) if few else named, "node", "left_semi")
-    sets = scratch.table(own.mapInArrow(_sets, "node long, shingles binary").distinct(), "minhash-sets")
-    joined = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    return joined.select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long").distinct()
+    return own.mapInArrow(_sets, "node long, content binary").distinct()
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +137,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = full.select("doc", "n", "set1", "set2").join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).select("doc", "n", "node")
     keyed = nodes.select("node", "n", "sketch", "bands").mapInArrow(_keys, ROWS)
     texts = rows.select(F.col("doc").alias("node"), "text")
-    roots = link(keyed, _likely, lambda pairs: _verified(pairs, texts))
+    roots = link(keyed, _likely, lambda named: _contents(texts, named), _agrees)
     return members, roots
 
 

@@ -209,3 +209,15 @@ def test_digests_take_nulls_and_empty_tables(spark, digest):
     docs = with_clashes(spark, documents())
     assert digest(docs).count() == docs.count()
     assert digest(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, bound):
+    from lodestar.llm import components as C
+
+    monkeypatch.setattr(C, "ONE_TASK", bound)
+    rng = random.Random(7)
+    linked = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(900, 900), (5, 901), (901, 5)]
+    want = components(sorted({x for e in linked for x in e}), linked)
+    got = {r.id: r.root for r in C.components(spark.createDataFrame(linked, "u long, v long").repartition(4)).collect()}
+    assert got == {i: r for i, r in want.items() if i != r}
