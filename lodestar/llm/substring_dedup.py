@@ -32,8 +32,6 @@ from lodestar.llm import scratch
 from lodestar.llm.textcore import U, buffers, hash_spans, mix, rolling, spans, split_groups, within
 
 MAX_SHARD_RUNS = 512
-#: Largest list that is broadcast to the document scan; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
 _RUNS = "doc long, tie long, anchor long, run long, at int, n int"
 _REGIONS = "doc long, tie long, anchor long, at int, n int, words binary"
 _SPANS = "doc long, tie long, at int, n int"
@@ -204,9 +202,8 @@ def _windows(min_words: int):
 
 
 def _attach(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join by (doc, tie); the lists are broadcast only where their measured size allows it."""
-    size = lists.agg(F.sum(F.size("items") * 24 + 32)).first()[0] or 0
-    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc", "tie"], how)
+    """Documents with their lists, by a shuffle at every size: lists grow with the documents."""
+    return docs.join(lists, ["doc", "tie"], how)
 
 
 def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
