@@ -170,8 +170,11 @@ def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """``key, blocks`` of the buckets that hold several components; of buckets with the same rows one."""
-    seen = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("low <> high")
+    """``key, blocks`` of the buckets that hold several components; of buckets with the same rows one.
+
+    Of up to three rows the first comparison has met all pairs.
+    """
+    seen = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("low <> high and rows > 3")
     return seen.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
 
 
