@@ -64,13 +64,13 @@ def search_signatures(index: Index, topics: dict[int, list[str]], k: int = 20, w
 
 
 def feedback_signatures(index: Index, run: DataFrame, documents: int, k: int, width: int = WIDTH, density: int = DENSITY) -> DataFrame:
-    """Search with the bitwise majority of the first documents' signatures of each topic."""
+    """Search with the bits that at least half have of the first documents' signatures of each topic."""
     words = width // 64
     all_ = signatures(index, width, density)
     chosen = run.filter(F.col("rank") <= documents).select("topic", "docid")
     own = all_.join(F.broadcast(chosen), "docid")
     bit = own.select("topic", "docid", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).filter(F.expr("getbit(bits, b) = 1"))
-    counts = bit.groupBy("topic", "word", "b").agg(F.count("*").alias("c")).join(F.broadcast(chosen.groupBy("topic").agg(F.count("*").alias("d"))), "topic").filter("2 * c > d")
+    counts = bit.groupBy("topic", "word", "b").agg(F.count("*").alias("c")).join(F.broadcast(chosen.groupBy("topic").agg(F.count("*").alias("d"))), "topic").filter("2 * c >= d")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))
     asked = counts.groupBy("topic", "word").agg(F.bit_or(one).alias("bits")).groupBy("topic").pivot("word", list(range(words))).agg(F.first("bits")).na.fill(0)
     asked = asked.select("topic", *(F.col(str(i)).alias(f"q{i}") for i in range(words)))
