@@ -62,7 +62,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.line_dedup import removal_digests
 
-    return removal_digests(_documents(spark, sf_dir))
+    return removal_digests(_documents(spark, sf_dir), grams=True)
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,28 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch, bound):
     want = components(sorted({x for e in linked for x in e}), linked)
     got = {r.id: r.root for r in C.components(spark.createDataFrame(linked, "u long, v long").repartition(4)).collect()}
     assert got == {i: r for i, r in want.items() if i != r}
+
+
+def gram_removals(spark, texts):
+    rows = [(k, t) for k, t in enumerate(texts)]
+    out = line_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), grams=True)
+    return {r.doc_id: r.n_removed for r in out.collect()}
+
+
+@pytest.mark.parametrize(("n", "changed", "least"), [(10, 1, 0.9), (15, 1, 0.95), (20, 1, 0.95), (30, 1, 0.95), (50, 1, 0.95), (20, 3, 0.85)])
+def test_lines_with_changed_words_are_recalled(spark, n, changed, least):
+    """Against every pair at edit similarity 0.8, without a sketch."""
+    rng = random.Random(n + changed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randrange(2, 10)))
+    texts = []
+    for _ in range(150):
+        ws = [word() for _ in range(n)]
+        other = list(ws)
+        for i in rng.sample(range(n), changed):
+            other[i] = word()
+        texts += [" ".join(ws), " ".join(other)]
+    near = [k for k in range(0, len(texts), 2) if max(map(len, texts[k : k + 2])) - lev(*texts[k : k + 2]) >= 0.8 * max(map(len, texts[k : k + 2]))]
+    gone = gram_removals(spark, texts)
+    assert len(near) > 80 and sum(gone[k] for k in range(0, len(texts), 2)) == 0
+    assert sum(gone[k + 1] for k in near) >= least * len(near)
+    assert sum(gone.values()) == sum(gone[k + 1] for k in near)
