@@ -246,3 +246,10 @@ def test_lines_with_changed_words_are_recalled(spark, n, changed, least):
     assert len(near) > 80 and sum(gone[k] for k in range(0, len(texts), 2)) == 0
     assert sum(gone[k + 1] for k in near) >= least * len(near)
     assert sum(gone.values()) == sum(gone[k + 1] for k in near)
+
+
+def test_short_and_unspaced_lines_take_part(spark):
+    long = "今天天气很好我们一起去公园散步然后回家吃饭看电视"
+    texts = ["Ok", "ok!", "one two three", "One, two three", "今天", "今天", long, long, long.replace("公园", "海边"), "--", "--", "no", "one two there"]
+    gone = gram_removals(spark, texts)
+    assert gone == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1, 8: 1, 9: 0, 10: 0, 11: 0, 12: 1}
