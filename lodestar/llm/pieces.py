@@ -5,7 +5,8 @@ source strings with a pool of replacements). Normalising takes the longest prefi
 place and records for every normalised byte the source byte it came from, so that every piece projects
 to a span of original bytes. Merging takes the highest-scored pair, the leftmost among equals. No piece
 holds a space mark after another character, so a text is encoded stretch by stretch and stretches are
-held in a bounded cache.
+held in a bounded cache, words with their ids, the spans of these and the bytes that these decode to.
+The query decodes its ids and checks that their spans cover the text without a gap.
 
 Nulls: a null text is empty (no ids, empty decoded text); a null doc_id stays null. Repeated rows give
 equal rows. An empty table gives no rows. Other columns are ignored.
@@ -123,8 +124,8 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a space; stretches are not independent")
         self.map = CharMap(charsmap)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, str | None] = {}
+        self.cache: dict[str, tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = {}
+        self.words: dict[str, tuple[str, bytes, bytes, int, int] | None] = {}
         self.plain = not charsmap and self.prefix and not self.squeeze
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
@@ -177,44 +178,52 @@ class PieceModel:
             if at < len(pairs):
                 pairs[at] = scores.get(syms[at] + syms[at + 1])
 
-    def stretch_ids(self, stretch: str) -> tuple[int, ...]:
+    def stretch(self, stretch: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
+        """Ids of one stretch and the span of each in its bytes; the bytes of a fallback character share its span."""
         got = self.cache.get(stretch)
         if got is None:
-            out: list[int] = []
+            ids, begins, ends, at = [], [], [], 0
             for p in self.merge(stretch):
-                i = self.ids.get(p)
-                out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
+                n, i = len(p.encode()), self.ids.get(p)
+                own = [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
+                ids += own
+                begins += [at] * len(own)
+                ends += [at + n] * len(own)
+                at += n
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            got = self.cache[stretch] = tuple(out)
+            got = self.cache[stretch] = tuple(ids), tuple(begins), tuple(ends)
         return got
 
     def encode(self, text: str) -> list[int]:
         norm, _ = self.normalize(text)
-        return [i for s in _STRETCH.findall(norm) for i in self.stretch_ids(s)]
+        return [i for s in _STRETCH.findall(norm) for i in self.stretch(s)[0]]
 
     def encode_spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the original byte span of each; the bytes of a fallback character share its span."""
         norm, align = self.normalize(text)
         ids, begins, ends, at = [], [], [], 0
-        for stretch in _STRETCH.findall(norm):
-            for p in self.merge(stretch):
-                n = len(p.encode())
-                own = [self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()]
-                ids += own
-                begins += [int(align[at])] * len(own)
-                ends += [int(align[at + n])] * len(own)
-                at += n
-        return ids, begins, ends
-
-    def decode(self, ids: list[int]) -> str:
+        for s in _STRETCH.findall(norm):
+            own, first, last = self.stretch(s)
+            ids += own
+            begins += [at + k for k in first]
+            ends += [at + k for k in last]
+            at += len(s.encode())
+        return ids, align[np.array(begins, np.int64)].tolist(), align[np.array(ends, np.int64)].tolist()
+
+    def _bytes(self, ids: list[int] | tuple[int, ...]) -> bytes:
         out = bytearray()
         for i in ids:
             b = self.byte_of.get(i)
             out += bytes([b]) if b is not None else self.pieces[i].replace(MARK, " ").encode() if i in self._normal() else b""
-        text = out.decode(errors="replace")
-        first = self.pieces[ids[0]] if ids else ""
-        return text[1:] if self.prefix and first.startswith(MARK) else text
+        return bytes(out)
+
+    def _text(self, raw: bytes, first: int | None) -> str:
+        text = raw.decode(errors="replace")
+        return text[1:] if self.prefix and first is not None and self.pieces[first].startswith(MARK) else text
+
+    def decode(self, ids: list[int]) -> str:
+        return self._text(self._bytes(ids), ids[0] if ids else None)
 
     def _normal(self) -> set[int]:
         if not hasattr(self, "_normal_ids"):
@@ -222,26 +231,23 @@ class PieceModel:
         return self._normal_ids
 
     def _fill(self, missing: list[str]) -> None:
+        """Ids, what they decode to, their spans from the space before the word on, the first id and the word's bytes."""
         for w in missing:
             if not w or w[-1] == MARK:
                 self.words[w] = None  # it can join the next stretch: the whole text is taken apart instead
                 continue
-            ids: list[int] = []
+            ids, spans, at = [], [], 0
             for s in _STRETCH.findall(MARK + w):
-                for p in self.merge(s):
-                    i = self.ids.get(p)
-                    ids += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-            self.words[w] = ",".join(map(str, ids))
-
-    def id_strings(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """(decimal ids joined by commas, decoded text) of each text."""
-        if not self.plain:
-            out = []
-            for t in texts:
-                ids = self.encode(t or "")
-                out.append((",".join(map(str, ids)), self.decode(ids)))
-            return out
-        split = [t.split(" ") if t else None for t in texts]
+                own, first, last = self.stretch(s)
+                ids += own
+                # the mark is three bytes here and one in the source
+                spans += [(max(at + a - 2, 0), at + b - 2) for a, b in zip(first, last)]
+                at += len(s.encode())
+            self.words[w] = ",".join(map(str, ids)), self._bytes(ids), np.array(spans, np.int32).tobytes(), ids[0], len(w.encode())
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[str, str, np.ndarray, np.ndarray]]:
+        """(decimal ids joined by commas, text decoded from them, first and end source byte of each) of each text."""
+        split = [t.split(" ") if t and self.plain else None for t in texts]
         new: set[str] = set()
         for ws in split:
             if ws:
@@ -254,17 +260,30 @@ class PieceModel:
             self._fill(missing)
         get, out = self.words.__getitem__, []
         for t, ws in zip(texts, split):
-            if not ws:
-                out.append(("", ""))
-                continue
-            got = list(map(get, ws))
+            got = list(map(get, ws)) if ws else [None]
             if None in got:
-                ids = self.encode(t)
-                out.append((",".join(map(str, ids)), t.replace(MARK, " ")))
-            else:
-                out.append((",".join(got), t.replace(MARK, " ") if MARK in t else t))
+                ids, begins, ends = self.encode_spans(t or "")
+                out.append((",".join(map(str, ids)), self.decode(ids), np.array(begins, np.int64), np.array(ends, np.int64)))
+                continue
+            names, raws, blobs, firsts, sizes = zip(*got)
+            spans = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
+            size = np.array(sizes, np.int64) + 1
+            at = np.repeat(np.cumsum(size) - size - 1, np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 3)
+            out.append((",".join(names), self._text(b"".join(raws), firsts[0]), np.maximum(spans[:, 0] + at, 0), spans[:, 1] + at))
         return out
 
+    def id_strings(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """(decimal ids joined by commas, decoded text) of each text."""
+        return [x[:2] for x in self.encoded(texts)]
+
+    def check(self, text: str, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Spans of a model that keeps every character cover the text in order, without a gap."""
+        if not self.plain or not text:
+            return
+        same = (begins[1:] == begins[:-1]) & (ends[1:] == ends[:-1])
+        if not len(begins) or begins[0] or ends[-1] != len(text.encode()) or not (same | (begins[1:] == ends[:-1])).all():
+            raise ValueError("spans do not cover the text")
+
 
 _models: dict[str, PieceModel] = {}
 
@@ -281,8 +300,11 @@ def _digest(path: str):
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
-                got = m.id_strings(batch.column(1).to_pylist())
-                n = [ids.count(",") + 1 if ids else 0 for ids, _ in got]
+                texts = batch.column(1).to_pylist()
+                got = m.encoded(texts)
+                for t, x in zip(texts, got):
+                    m.check(t or "", x[2], x[3])
+                n = [len(x[2]) for x in got]
                 sha = [[hashlib.sha256(x[k].encode()).hexdigest() for x in got] for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -207,3 +207,15 @@ def test_piece_digests(spark, library):
     docs = with_clashes(spark, rows)
     assert pieces.digests(docs, PIECE).count() == docs.count() and pieces.digests(docs.limit(0), PIECE).collect() == []
     assert pieces.encode(docs, PIECE).count() == docs.count()
+
+
+def test_digests_come_from_ids_and_spans(library):
+    model, all_ = pieces.PieceModel(PIECE), texts()
+    for t, (ids, decoded, begins, ends) in zip(all_, model.encoded(all_)):
+        want = model.encode_spans(t)
+        assert (ids, begins.tolist(), ends.tolist()) == (",".join(map(str, want[0])), *want[1:]), repr(t)
+        assert decoded == model.decode(want[0])
+        model.check(t, begins, ends)
+    wrong = pieces.PieceModel(PIECE)
+    wrong.pieces[wrong.encode("one house")[-1]] = "▁mouse"
+    assert wrong.id_strings(["one house"])[0][1] != "one house"
