@@ -7,8 +7,9 @@ it; once the verified links have been joined into components, what buckets still
 components is gathered into clusters and compared in full. Every link is confirmed on whole shingle sets; links inside a component
 that is joined already add nothing and are not looked up.
 
-Two sets with the least likeness asked for (0.85) are missed with a chance of about 2 * (1 - 0.85**Q)**M
-(6e-7 here), and by the 64-bit sketch that spares comparisons with about 1e-6.
+The least likeness is a parameter: 0.85 in the query, 0.80 in the pipeline. Two sets of just that likeness
+s are missed with a chance of about 2 * (1 - s**Q)**M (6e-7 at 0.85, 9e-6 at 0.80), and by the 64-bit
+sketch that spares comparisons with at most 1e-6.
 
 Nulls: a null text has no words, an empty set, and is linked with nothing; a null doc_id is reported with
 a null component and kept. Rows with one doc_id are one node if their texts agree. Empty tables give no
@@ -18,6 +19,8 @@ rows. Columns of any name are carried through by :func:`keep_first`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from lodestar.llm.textcore import U, mix, rolling, split_groups, within
 
 Q, M = 2, 12
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 85, 100
-#: Least number of equal sketch bits, of 64; at likeness 0.85 about 59 are equal.
-SKETCH_EQUAL = 47
+#: Chance at which sketches may differ too much at the least likeness.
+SKETCH_MISS = 1e-6
 #: Nodes whose ids are broadcast to the document scan (8 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(71))
@@ -98,10 +101,21 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(sketch)], names=["key", "node", "n", "sketch"])
 
 
-def _likely(n1, s1, n2, s2) -> np.ndarray:
+@cache
+def sketch_equal(numerator: int) -> int:
+    """Least number of equal sketch bits, of 64, that sets of the least likeness fall below with a chance of SKETCH_MISS at most."""
+    p = (1 + numerator / DENOMINATOR) / 2
+    below, k = 0.0, 0
+    while k < 64 and below + comb(64, k) * p**k * (1 - p) ** (64 - k) <= SKETCH_MISS:
+        below += comb(64, k) * p**k * (1 - p) ** (64 - k)
+        k += 1
+    return k
+
+
+def _likely(numerator: int, n1, s1, n2, s2) -> np.ndarray:
     """Whether sizes allow the likeness, and sketches make it likely."""
     small, large = np.minimum(n1, n2).astype(np.int64), np.maximum(n1, n2).astype(np.int64)
-    return (DENOMINATOR * small >= NUMERATOR * large) & (np.bitwise_count(~(s1 ^ s2).view(U)) >= SKETCH_EQUAL)
+    return (DENOMINATOR * small >= numerator * large) & (np.bitwise_count(~(s1 ^ s2).view(U)) >= sketch_equal(numerator))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +125,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([nodes.slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "content"])
 
 
-def _agrees(a: bytes, b: bytes) -> bool:
+def _agrees(numerator: int, a: bytes, b: bytes) -> bool:
     x, y = np.frombuffer(a, U), np.frombuffer(b, U)
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+    return DENOMINATOR * both >= numerator * (len(x) + len(y) - both)
 
 
 def _contents(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -125,10 +139,11 @@ def _contents(rows: DataFrame, named: DataFrame) -> DataFrame:
     return own.mapInArrow(_sets, "node long, content binary").distinct()
 
 
-def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(rows: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFrame]:
     """(doc, n, node) of every row with a set, and (id, root) of the nodes that are not roots.
 
-    ``rows`` has doc (long) and text. A node is the smallest doc with its set.
+    ``rows`` has doc (long) and text. A node is the smallest doc with its set. Sets are linked at a likeness
+    of ``numerator`` hundredths.
     """
     found = scratch.table(rows.filter("doc is not null").select("doc", "text").mapInArrow(_describe, _SETS), "minhash-described")
     full = found.filter("n > 0")
@@ -137,7 +152,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = full.select("doc", "n", "set1", "set2").join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).select("doc", "n", "node")
     keyed = nodes.select("node", "n", "sketch", "bands").mapInArrow(_keys, ROWS)
     texts = rows.select(F.col("doc").alias("node"), "text")
-    roots = link(keyed, _likely, lambda named: _contents(texts, named), _agrees)
+    roots = link(keyed, partial(_likely, numerator), lambda named: _contents(texts, named), partial(_agrees, numerator))
     return members, roots
 
 
@@ -155,9 +170,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """The document with the smallest doc_id of each component, in the columns they came with."""
-    members, roots = classes(_rows(docs))
+    members, roots = classes(_rows(docs), numerator)
     gone = members.join(roots.withColumnRenamed("id", "node"), "node", "left").filter(F.col("doc") != F.coalesce("root", "node")).select(F.col("doc").alias("_gone")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     return rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")

@@ -253,3 +253,20 @@ def test_short_and_unspaced_lines_take_part(spark):
     texts = ["Ok", "ok!", "one two three", "One, two three", "今天", "今天", long, long, long.replace("公园", "海边"), "--", "--", "no", "one two there"]
     gone = gram_removals(spark, texts)
     assert gone == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1, 8: 1, 9: 0, 10: 0, 11: 0, 12: 1}
+
+
+def test_stage_links_from_four_fifths_and_query_from_85(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(204)]
+    rows = []
+    for k, at in enumerate(([], [30, 70, 110, 150], [*range(20, 180, 20)])):
+        own = list(words)
+        for i in at:
+            own[i] = f"v{k}x{i}"
+        rows.append((k, " ".join(own), "en", "s", 1))
+    a, b, c = (shingles(r[1]) for r in rows)
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c) and 100 * len(b & c) < 80 * len(b | c)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
+    assert {r.doc_id for r in minhash_dedup.near_duplicates(docs).collect() if r.kept} == {0, 1, 2}
