@@ -178,24 +178,49 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return seen.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
 
 
+def shared_rows(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (key, node and more) whose key another row has too, written."""
+    schema = keyed.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    out = scratch.table(keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_shared, schema), "buckets")
+    scratch.release(keyed.sparkSession)
+    return out
+
+
 def link(keyed: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees) -> DataFrame:
     """(id, root) of the nodes that are not roots of their component. ``keyed`` has the columns of ROWS."""
-    shared = scratch.table(keyed.repartition(F.col("key")).sortWithinPartitions("key", "n", "node").mapInArrow(_shared, ROWS), "buckets")
+    shared = shared_rows(keyed)
+    roots = link_shared(shared, likely, fetch, agrees)
+    scratch.drop(shared)
+    return roots
+
+
+def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees) -> DataFrame:
+    """The same for rows of buckets that hold several, in a table."""
+    spark = shared.sparkSession
     order = shared.repartition(F.col("key")).sortWithinPartitions("key", "n", "node")
     pairs = scratch.table(order.mapInArrow(partial(_neighbours, likely), "u long, v long").distinct(), "bucket-pairs")
     links = scratch.table(_confirm(pairs, fetch, agrees), "bucket-links")
+    scratch.drop(pairs)
+    scratch.release(spark)
     roots = components(links)
     labelled = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "sketch", F.coalesce("root", "node").alias("comp"))
     labelled = scratch.table(labelled, "bucket-labels")
     spread = _dealt(labelled, _mixed(labelled)).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
     forest = scratch.table(spread.mapInArrow(partial(_across, likely), "u long, v long").distinct(), "bucket-forest")
-    if forest.isEmpty():
-        return roots
-    named = forest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    clusters = named.join(components(forest).withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("key"))
-    about = labelled.select("node", "n", "sketch", "comp").join(named, "node", "left_semi").distinct()
-    rows = scratch.table(clusters.join(about, "node").join(fetch(named), "node").select("key", "node", "n", "sketch", "comp", "content"), "bucket-clusters")
-    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("content")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    spread = _dealt(rows, sizes).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-    more = scratch.table(spread.mapInArrow(partial(_settle, likely, agrees), "u long, v long").distinct(), "bucket-links")
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    scratch.release(spark)
+    if not forest.isEmpty():
+        named = forest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        trees = components(forest)
+        clusters = named.join(trees.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("key"))
+        about = labelled.select("node", "n", "sketch", "comp").join(named, "node", "left_semi").distinct()
+        rows = scratch.table(clusters.join(about, "node").join(fetch(named), "node").select("key", "node", "n", "sketch", "comp", "content"), "bucket-clusters")
+        sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("content")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+        spread = _dealt(rows, sizes).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+        more = scratch.table(spread.mapInArrow(partial(_settle, likely, agrees), "u long, v long").distinct(), "bucket-links")
+        if not more.isEmpty():
+            scratch.drop(roots)
+            roots = components(links.unionByName(more))
+        scratch.drop(trees, rows, more)
+    scratch.drop(links, labelled, forest)
+    scratch.release(spark)
+    return roots

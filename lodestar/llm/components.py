@@ -47,7 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     cur = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     if cur.count() <= ONE_TASK:
-        return scratch.table(cur.coalesce(1).mapInArrow(_joined, "id long, root long"), "roots")
+        out = scratch.table(cur.coalesce(1).mapInArrow(_joined, "id long, root long"), "roots")
+        scratch.drop(cur)
+        return out
     return in_rounds(cur)
 
 
@@ -63,5 +65,9 @@ def in_rounds(cur: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        cur = scratch.table(small, "links")
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        done, cur = cur, scratch.table(small, "links")
+        scratch.drop(done)
+        scratch.release(cur.sparkSession)
+    roots = scratch.table(cur.select(F.col("u").alias("id"), F.col("v").alias("root")), "roots")
+    scratch.drop(cur)
+    return roots

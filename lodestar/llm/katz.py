@@ -434,13 +434,13 @@ class Model:
 
     chunks: DataFrame
     answers: DataFrame
+    parts: list[DataFrame]
     buckets: int
     order: int
     stats: Statistics
 
     def drop(self) -> None:
-        scratch.drop(self.chunks)
-        scratch.drop(self.answers)
+        scratch.drop(self.chunks, *self.parts)
 
 
 def fit(docs: DataFrame, order: int = ORDER, hold: Hold = every_seventh) -> Model:
@@ -450,13 +450,14 @@ def fit(docs: DataFrame, order: int = ORDER, hold: Hold = every_seventh) -> Mode
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(scratch.shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     chunks = scratch.table(rows.mapInArrow(_chunks(hold), _CHUNKS), "katz-chunks")
-    answers = None
+    answers, parts = None, []
     for n in range(1, order + 1):  # one order after another: only one order's keys are in shuffle files at a time
         part = scratch.table(chunks.mapInArrow(_requests(n, buckets), _COUNTS).groupBy("bucket", "ord").applyInArrow(_answer, _ANSWERS), "katz-answers")
         scratch.release(spark)
+        parts.append(part)
         answers = part if answers is None else answers.unionByName(part)
     trained = chunks.select("held").mapInArrow(_trained, "n long").agg(F.sum("n")).first()[0] or 0
-    return Model(chunks, answers, buckets, order, statistics(answers, trained))
+    return Model(chunks, answers, parts, buckets, order, statistics(answers, trained))
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

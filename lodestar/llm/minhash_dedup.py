@@ -139,8 +139,8 @@ def _contents(rows: DataFrame, named: DataFrame) -> DataFrame:
     return own.mapInArrow(_sets, "node long, content binary").distinct()
 
 
-def classes(rows: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFrame]:
-    """(doc, n, node) of every row with a set, and (id, root) of the nodes that are not roots.
+def classes(rows: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+    """(doc, n, root) of every row with a set, written: its size and the smallest doc of its component.
 
     ``rows`` has doc (long) and text. A node is the smallest doc with its set. Sets are linked at a likeness
     of ``numerator`` hundredths.
@@ -153,7 +153,10 @@ def classes(rows: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, Dat
     keyed = nodes.select("node", "n", "sketch", "bands").mapInArrow(_keys, ROWS)
     texts = rows.select(F.col("doc").alias("node"), "text")
     roots = link(keyed, partial(_likely, numerator), lambda named: _contents(texts, named), partial(_agrees, numerator))
-    return members, roots
+    labelled = scratch.table(members.join(roots.withColumnRenamed("id", "node"), "node", "left").select("doc", "n", F.coalesce("root", "node").alias("root")).distinct(), "minhash-classes")
+    scratch.drop(found, nodes, roots)
+    scratch.release(rows.sparkSession)
+    return labelled
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -163,16 +166,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Set size, component and verdict of every document."""
     rows = _rows(docs)
-    members, roots = classes(rows)
-    labelled = members.distinct().join(roots.withColumnRenamed("id", "node"), "node", "left").select("doc", "n", F.coalesce("root", "node").alias("component_id"))
-    best = labelled.groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    best = classes(rows).groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("root").alias("component_id"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(best.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """The document with the smallest doc_id of each component, in the columns they came with."""
-    members, roots = classes(_rows(docs), numerator)
-    gone = members.join(roots.withColumnRenamed("id", "node"), "node", "left").filter(F.col("doc") != F.coalesce("root", "node")).select(F.col("doc").alias("_gone")).distinct()
+    gone = classes(_rows(docs), numerator).filter("doc <> root").select(F.col("doc").alias("_gone")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     return rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")

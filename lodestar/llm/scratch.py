@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -17,6 +18,8 @@ def folder(spark: SparkSession) -> str:
         if set_dir.isDefined():
             base = set_dir.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,17 +36,32 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None, codec
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the tables of :func:`table` that ``df`` reads, when nothing is to be read from them again."""
-    spark = df.sparkSession
-    own = folder(spark).split(":", 1)[-1].lstrip("/")
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.split(":", 1)[-1].lstrip("/").startswith(own):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete what :func:`table` has written, when nothing is to be read from it again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def restored(docs: DataFrame, rows: DataFrame, items: DataFrame, strip) -> DataFrame:
+    """The columns of ``docs`` with the texts that ``strip`` leaves; ``n_chars`` follows a text that is changed.
+
+    ``rows`` has doc, tie, text and row (the other columns), ``items`` what to take from the text by doc and tie.
+    ``strip`` maps batches of row, text and items to row, text and whether there were items. A null text stays null
+    where nothing is taken from it.
+    """
+    joined = rows.join(items, ["doc", "tie"], "left").select("row", "text", "items")
+    out = joined.mapInArrow(strip, f"row {rows.schema['row'].dataType.simpleString()}, text string, hit boolean")
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def release(spark: SparkSession) -> None:

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import scratch
 from lodestar.llm.textcore import U, buffers, hash_spans, mix, rolling, spans, split_groups, within
 
-MAX_SHARD_RUNS = 512
+#: Windows of a run, and runs and words of a shard that one automaton takes.
+MAX_RUN, MAX_SHARD_RUNS, MAX_SHARD_WORDS = 4096, 512, 1 << 18
 _RUNS = "doc long, tie long, anchor long, run long, at int, n int"
 _REGIONS = "doc long, tie long, anchor long, at int, n int, words binary"
 _SPANS = "doc long, tie long, at int, n int"
@@ -125,9 +126,10 @@ def _runs(min_words: int):
                 anchor = _window_min(rolling(h, half), min_words - half + 1)[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
-                first = np.flatnonzero(new)
+                place = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                place %= MAX_RUN
+                first = np.flatnonzero(place == 0)
                 n = np.diff(np.append(first, len(at)))
-                place = np.arange(len(at)) - np.repeat(first, n)
                 windows = rolling(h, min_words, 0x9E6C63D0676A9A99)[at]
                 whole = mix(np.add.reduceat(mix(windows + place.astype(U)), first) + n.astype(U))
                 rows = own[first]
@@ -201,11 +203,6 @@ def _windows(min_words: int):
     return run
 
 
-def _attach(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Documents with their lists, by a shuffle at every size: lists grow with the documents."""
-    return docs.join(lists, ["doc", "tie"], how)
-
-
 def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
     """``doc, tie, items``: first words and numbers of the windows to remove, one row per document that has any.
 
@@ -214,20 +211,27 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
     runs = rows.select("doc", "tie", "text").mapInArrow(_runs(min_words), _RUNS)
     twice = runs.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
     met = scratch.table(runs.join(twice, "anchor", "left_semi"), "substring-runs")
-    distinct = met.groupBy("anchor", "run").agg(F.min("doc").alias("first"))
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    judged = scratch.table(met.join(distinct, ["anchor", "run"]).join(several, "anchor", "left").filter("doc > first or kinds is not null"), "substring-judged")
+    scratch.release(rows.sparkSession)
+    distinct = met.groupBy("anchor", "run").agg(F.min("doc").alias("first"), F.min("n").alias("n"))
+    several = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (min_words - 1)).alias("words")).filter("kinds > 1")
+    judged = scratch.table(met.join(distinct.drop("n"), ["anchor", "run"]).join(several, "anchor", "left").filter("doc > first or kinds is not null"), "substring-judged")
+    scratch.drop(met)
+    scratch.release(rows.sparkSession)
     gone = judged.filter("doc > first").select("doc", "tie", "at", "n")
     open_ = judged.filter("doc = first")
     lists = scratch.table(open_.groupBy("doc", "tie").agg(F.collect_set(F.struct("anchor", "at", "n")).alias("items")), "substring-open")
-    regions = scratch.table(_attach(rows.select("doc", "tie", "text"), lists, "inner").dropDuplicates(["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_regions(min_words), _REGIONS), "substring-regions")
-    large = several.filter(F.col("kinds") > MAX_SHARD_RUNS).select("anchor")
+    regions = scratch.table(rows.select("doc", "tie", "text").join(lists, ["doc", "tie"]).dropDuplicates(["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_regions(min_words), _REGIONS), "substring-regions")
+    scratch.release(rows.sparkSession)
+    large = judged.filter((F.col("kinds") > MAX_SHARD_RUNS) | (F.col("words") > MAX_SHARD_WORDS)).select("anchor").distinct()
     small = regions.join(large, "anchor", "left_anti").select("doc", "tie", "anchor", "at", "n", "words")
     matched = small.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc", "tie", "at").mapInArrow(_match(min_words), _SPANS)
     windows = regions.join(large, "anchor", "left_semi").select("doc", "tie", "anchor", "at", "n", "words").mapInArrow(_windows(min_words), "doc long, tie long, anchor long, window long, at long")
     earliest = windows.groupBy("anchor", "window").agg(F.min("doc").alias("first"))
     late = windows.join(earliest, ["anchor", "window"]).filter("doc > first").select("doc", "tie", F.col("at").cast("int").alias("at"), F.lit(1).alias("n"))
-    return scratch.table(gone.unionByName(matched).unionByName(late).groupBy("doc", "tie").agg(F.collect_set(F.struct("at", "n")).alias("items")), "substring-spans")
+    spans_ = scratch.table(gone.unionByName(matched).unionByName(late).groupBy("doc", "tie").agg(F.collect_set(F.struct("at", "n")).alias("items")), "substring-spans")
+    scratch.drop(judged, lists, regions)
+    scratch.release(rows.sparkSession)
+    return spans_
 
 
 def _covered(n_words: int, items: list[dict] | None, min_words: int) -> np.ndarray:
@@ -238,16 +242,17 @@ def _covered(n_words: int, items: list[dict] | None, min_words: int) -> np.ndarr
     return np.cumsum(edge[:-1]) > 0
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+def _keyed(docs: DataFrame, others: list[str]) -> DataFrame:
+    """doc, tie, text, and a struct of the other columns."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
 
 
 def _digest(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sha = [], [], []
-            for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, items in zip(batch.column(1).fill_null("").to_pylist(), batch.column(2).to_pylist()):
                 ws = text.encode().split()
                 n.append(len(ws))
                 if items:
@@ -264,39 +269,39 @@ def _digest(min_words: int):
 
 def removal_digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Words, removed words and checksum of the kept words of every document."""
-    rows = _keyed(docs.select("doc_id", "text"))
-    joined = _attach(rows, repeated_spans(rows, min_words), "left").select("row.doc_id", "text", "items")
-    return joined.select(F.col("doc_id").cast("long"), "text", "items").mapInArrow(_digest(min_words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _keyed(docs, ["doc_id"])
+    joined = rows.join(repeated_spans(rows, min_words), ["doc", "tie"], "left")
+    return joined.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "items").mapInArrow(_digest(min_words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _without(text: str, items: list[dict], min_words: int) -> str:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    start, end = spans(raw, np.array([0, len(raw)]))
+    gone = _covered(len(start), items, min_words)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    kept, at = [], 0
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        kept.append(raw[at : start[a]].tobytes())
+        at = end[b - 1]
+    return (b"".join(kept) + raw[at:].tobytes()).decode().strip(" \t\n\r\x0b\x0c")
 
 
 def _strip(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if items:
-                    raw = np.frombuffer(text.encode(), np.uint8)
-                    start, end = spans(raw, np.array([0, len(raw)]))
-                    gone = _covered(len(start), items, min_words)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    kept, at = [], 0
-                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        kept.append(raw[at : start[a]].tobytes())
-                        at = end[b - 1]
-                    text = (b"".join(kept) + raw[at:].tobytes()).decode().strip(" \t\n\r\x0b\x0c")
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+            texts = batch.column(1)
+            hit = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                out = texts.to_pylist()
+                for i in hit.tolist():
+                    out[i] = _without(out[i], batch.column(2)[i].as_py(), min_words)
+                texts = pa.array(out, texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2).is_valid()], names=["row", "text", "hit"])
 
     return run
 
 
 def strip_documents(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The documents without the spans, in the columns they came with; ``n_chars`` follows the text."""
-    rows = _keyed(docs)
-    joined = _attach(rows, repeated_spans(rows, min_words), "left")
-    quiet, hit = joined.filter("items is null"), joined.filter("items is not null")
-    kind = rows.schema["row"].dataType.simpleString()
-    out = hit.select("row", "text", "items").mapInArrow(_strip(min_words), f"row {kind}, text string")
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    stripped = out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
-    return quiet.select("row.*").unionByName(stripped)
+    """The documents without the spans, in the columns they came with; ``n_chars`` follows a changed text."""
+    rows = _keyed(docs, [c for c in docs.columns if c != "text"])
+    return scratch.restored(docs, rows, repeated_spans(rows, min_words), _strip(min_words))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from lodestar.llm import line_dedup, minhash_dedup, substring_dedup
-from tests.llm.fixtures import SCHEMA, documents, sentence, with_clashes
+from tests.llm.fixtures import SCHEMA, WORDS, documents, sentence, with_clashes
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,35 +134,26 @@ def test_edit_distance_matches_the_table():
     for _ in range(400):
         a, b = ("".join(rng.choice("abé ") for _ in range(rng.randrange(30))) for _ in range(2))
         assert line_dedup.edits(a, b) == lev(a, b)
+        most = rng.randrange(12)
+        assert min(line_dedup.edits(a, b, most), most + 1) == min(lev(a, b), most + 1)
     long = "".join(rng.choice("abcdef ") for _ in range(900))
     assert line_dedup.edits(long, long[:400] + "zz" + long[405:]) == lev(long, long[:400] + "zz" + long[405:])
 
 
 def brute_lines(rows):
+    """Every pair of lines by edit similarity, without keys or sketches."""
     table = {b: 32 for b in range(128) if (not chr(b).isalnum() and b >= 32) or 9 <= b <= 13} | {b: b + 32 for b in range(65, 91)}
     lines = []
     for i, t in sorted(rows, key=lambda r: r[0]):
         for k, x in enumerate((t or "").split("\n") if t else []):
             ws = [w for w in re.split("[ ]+", x.translate(table)) if w]
-            if len(ws) >= line_dedup.MIN_WORDS:
-                lines.append((i, k, " ".join(ws), ws))
-
-    def sketch(ws):
-        from lodestar.llm.textcore import hash_spans
-
-        total = np.zeros(64, int)
-        for w in ws:
-            raw = np.frombuffer(w.encode(), np.uint8)
-            h = int(hash_spans(raw, np.array([0]), np.array([len(raw)]), True)[0])
-            total += [h >> b & 1 for b in range(64)]
-        return sum(1 << b for b in range(64) if 2 * total[b] > len(ws))
-
-    kinds = {x[2]: sketch(x[3]) for x in lines}
-    names = sorted(kinds)
-    linked = [(a, b) for a in names for b in names if a < b and (kinds[a] ^ kinds[b]).bit_count() <= 3 and max(len(a), len(b)) - lev(a, b) >= 0.8 * max(len(a), len(b))]
+            if ws:
+                lines.append((i, k, " ".join(ws)))
+    names = sorted({x[2] for x in lines})
+    linked = [(a, b) for a in names for b in names if a < b and min(len(a), len(b)) >= line_dedup.MIN_CHARS and max(len(a), len(b)) - lev(a, b) >= 0.8 * max(len(a), len(b))]
     root = components(names, linked)
     met, gone = set(), Counter()
-    for i, k, name, _ in lines:
+    for i, k, name in lines:
         if root[name] in met:
             gone[i, k] = 1
         met.add(root[name])
@@ -175,7 +166,7 @@ def brute_lines(rows):
 
 def test_fuzzy_lines_match_brute_force(spark):
     rng, base = random.Random(6), random.Random(1)
-    stock = [sentence(base, n) for n in (14, 14, 30, 60, 90, 120)]
+    stock = [sentence(base, n) for n in (5, 14, 14, 30, 60, 90, 120)]
     rows = []
     for k in range(70):
         own = []
@@ -187,7 +178,15 @@ def test_fuzzy_lines_match_brute_force(spark):
     want, linked = brute_lines(rows)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == want
-    assert linked > 3
+    assert linked > 10
+
+
+def test_a_megabyte_line_is_compared_whole(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(130_000))
+    other = long[:300_000] + " changed here " + long[300_020:-7] + "tail"
+    solid = "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(100_000))
+    assert gram_removals(spark, [long, other, solid, solid[:50_000] + "zzz" + solid[50_003:], "x" * 100_000]) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
 
 
 @pytest.mark.parametrize("keep", [minhash_dedup.keep_first, substring_dedup.strip_documents, line_dedup.strip_lines])
@@ -225,7 +224,7 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch, bound):
 
 def gram_removals(spark, texts):
     rows = [(k, t) for k, t in enumerate(texts)]
-    out = line_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), grams=True)
+    out = line_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     return {r.doc_id: r.n_removed for r in out.collect()}
 
 
