@@ -146,16 +146,17 @@ def _settle(likely: Likely, agrees: Agrees, batches: Iterator[pa.RecordBatch]) -
         yield _pairs(u, v)
 
 
-def _confirmed(agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirmed(agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = pa.array([agrees(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
-def _confirm(pairs: DataFrame, fetch: Fetch, agrees: Agrees) -> DataFrame:
+def _contents(pairs: DataFrame, fetch: Fetch) -> DataFrame:
+    """``u, v`` with their contents ``a, b``."""
     content = scratch.table(fetch(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "bucket-contents")
     both = pairs.join(content.select(F.col("node").alias("v"), F.col("content").alias("b")), "v").join(content.select(F.col("node").alias("u"), F.col("content").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(partial(_confirmed, agrees), "u long, v long").distinct()
+    return both.select("u", "v", "a", "b")
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -194,12 +195,13 @@ def link(keyed: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees) -> Data
     return roots
 
 
-def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees) -> DataFrame:
-    """The same for rows of buckets that hold several, in a table."""
+def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The same for rows of buckets that hold several, in a table. ``confirm`` may stand for ``agrees`` on whole columns."""
     spark = shared.sparkSession
+    confirm = confirm or (lambda both: both.mapInArrow(partial(confirmed, agrees), "u long, v long"))
     order = shared.repartition(F.col("key")).sortWithinPartitions("key", "n", "node")
     pairs = scratch.table(order.mapInArrow(partial(_neighbours, likely), "u long, v long").distinct(), "bucket-pairs")
-    links = scratch.table(_confirm(pairs, fetch, agrees), "bucket-links")
+    links = scratch.table(confirm(_contents(pairs, fetch)).distinct(), "bucket-links")
     scratch.drop(pairs)
     scratch.release(spark)
     roots = components(links)
