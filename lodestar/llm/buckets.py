@@ -30,6 +30,9 @@ Likely = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Agrees = Callable[[bytes, bytes], bool]
 #: Nodes (one column ``node``) to ``node, content binary``; a node may have several contents.
 Fetch = Callable[[DataFrame], DataFrame]
+#: What is known of contents at a glance, and whether one of them could agree with others by that.
+Glance = Callable[[list[bytes]], np.ndarray]
+May = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
 ROWS = "key long, node long, n int, sketch long"
 
 
@@ -128,16 +131,19 @@ def _across(likely: Likely, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield _pairs(u, v)
 
 
-def _settle(likely: Likely, agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(likely: Likely, agrees: Agrees, glance: Glance | None, may: May | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join components of a block pair of a cluster, the likeliest pairs tried first."""
     for rows in _groups(batches, ("key", "i", "j")):
         node, n, sketch, comp, side = (rows[c].to_numpy() for c in ("node", "n", "sketch", "comp", "side"))
         content = rows["content"].to_pylist()
+        seen = glance(content) if glance else None
         comp, u, v = comp.copy(), [], []
         right = np.flatnonzero(side != 0)
         for a in np.flatnonzero(side != 1).tolist():
             other = right[(comp[right] != comp[a]) & ((side[right] != side[a]) | (right > a))]
             other = other[likely(n[a : a + 1], sketch[a : a + 1], n[other], sketch[other])]
+            if may and len(other):
+                other = other[may(seen, a, other)]
             for b in other[np.argsort(np.bitwise_count((sketch[other] ^ sketch[a]).view(np.uint64)), kind="stable")].tolist():
                 if comp[a] != comp[b] and agrees(content[a], content[b]):
                     u.append(node[a])
@@ -146,7 +152,7 @@ def _settle(likely: Likely, agrees: Agrees, batches: Iterator[pa.RecordBatch]) -
         yield _pairs(u, v)
 
 
-def confirmed(agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = pa.array([agrees(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
@@ -195,13 +201,12 @@ def link(keyed: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees) -> Data
     return roots
 
 
-def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The same for rows of buckets that hold several, in a table. ``confirm`` may stand for ``agrees`` on whole columns."""
+def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees, glance: Glance | None = None, may: May | None = None) -> DataFrame:
+    """The same for rows of buckets that hold several, in a table."""
     spark = shared.sparkSession
-    confirm = confirm or (lambda both: both.mapInArrow(partial(confirmed, agrees), "u long, v long"))
     order = shared.repartition(F.col("key")).sortWithinPartitions("key", "n", "node")
     pairs = scratch.table(order.mapInArrow(partial(_neighbours, likely), "u long, v long").distinct(), "bucket-pairs")
-    links = scratch.table(confirm(_contents(pairs, fetch)).distinct(), "bucket-links")
+    links = scratch.table(_contents(pairs, fetch).mapInArrow(partial(_confirmed, agrees), "u long, v long").distinct(), "bucket-links")
     scratch.drop(pairs)
     scratch.release(spark)
     roots = components(links)
@@ -218,7 +223,7 @@ def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees,
         rows = scratch.table(clusters.join(about, "node").join(fetch(named), "node").select("key", "node", "n", "sketch", "comp", "content"), "bucket-clusters")
         sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("content")) / BLOCK_BYTES)).cast("int").alias("blocks"))
         spread = _dealt(rows, sizes).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-        more = scratch.table(spread.mapInArrow(partial(_settle, likely, agrees), "u long, v long").distinct(), "bucket-links")
+        more = scratch.table(spread.mapInArrow(partial(_settle, likely, agrees, glance, may), "u long, v long").distinct(), "bucket-links")
         if not more.isEmpty():
             scratch.drop(roots)
             roots = components(links.unionByName(more))
