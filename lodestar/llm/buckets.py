@@ -158,11 +158,13 @@ def _confirmed(agrees: Agrees, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
-def _contents(pairs: DataFrame, fetch: Fetch) -> DataFrame:
-    """``u, v`` with their contents ``a, b``."""
+def _links(pairs: DataFrame, fetch: Fetch, agrees: Agrees) -> DataFrame:
+    """The pairs whose contents agree, written."""
     content = scratch.table(fetch(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "bucket-contents")
     both = pairs.join(content.select(F.col("node").alias("v"), F.col("content").alias("b")), "v").join(content.select(F.col("node").alias("u"), F.col("content").alias("a")), "u")
-    return both.select("u", "v", "a", "b")
+    links = scratch.table(both.select("u", "v", "a", "b").mapInArrow(partial(_confirmed, agrees), "u long, v long").distinct(), "bucket-links")
+    scratch.drop(content)
+    return links
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -206,13 +208,13 @@ def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees,
     spark = shared.sparkSession
     order = shared.repartition(F.col("key")).sortWithinPartitions("key", "n", "node")
     pairs = scratch.table(order.mapInArrow(partial(_neighbours, likely), "u long, v long").distinct(), "bucket-pairs")
-    links = scratch.table(_contents(pairs, fetch).mapInArrow(partial(_confirmed, agrees), "u long, v long").distinct(), "bucket-links")
+    links = _links(pairs, fetch, agrees)
     scratch.drop(pairs)
     scratch.release(spark)
     roots = components(links)
     labelled = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", "sketch", F.coalesce("root", "node").alias("comp"))
     labelled = scratch.table(labelled, "bucket-labels")
-    spread = _dealt(labelled, _mixed(labelled)).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    spread = _dealt(labelled, _mixed(labelled)).repartition(scratch.shuffle_partitions(spark), F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
     forest = scratch.table(spread.mapInArrow(partial(_across, likely), "u long, v long").distinct(), "bucket-forest")
     scratch.release(spark)
     if not forest.isEmpty():
@@ -222,7 +224,7 @@ def link_shared(shared: DataFrame, likely: Likely, fetch: Fetch, agrees: Agrees,
         about = labelled.select("node", "n", "sketch", "comp").join(named, "node", "left_semi").distinct()
         rows = scratch.table(clusters.join(about, "node").join(fetch(named), "node").select("key", "node", "n", "sketch", "comp", "content"), "bucket-clusters")
         sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("content")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-        spread = _dealt(rows, sizes).repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+        spread = _dealt(rows, sizes).repartition(scratch.shuffle_partitions(spark), F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
         more = scratch.table(spread.mapInArrow(partial(_settle, likely, agrees, glance, may), "u long, v long").distinct(), "bucket-links")
         if not more.isEmpty():
             scratch.drop(roots)
