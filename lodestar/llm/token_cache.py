@@ -3,7 +3,7 @@
 Both public vocabularies split text before merging, and no merge crosses that split. Ids of a
 white-space-bounded stretch therefore do not depend on its neighbours, and a dictionary of stretches
 gives the library's ids for a text. Stretches that the split could join with a neighbour (white space
-at an edge) send the whole text to the library.
+at an edge) send the whole text to the library, and so do strings of added tokens, which it finds before it splits.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.kind, self.entries = kind, entries
         self.cache: dict[str, bytes | None] = {}
@@ -132,7 +132,11 @@ class WordIds:
         if len(self.cache) + len(self.first) > self.entries:
             self.cache.clear()
             self.first.clear()
-        return self._bytes(texts) if self.kind == "byte" else self._words(texts)
+        whole = {i: self.whole(t) for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        if whole:
+            texts = ["" if i in whole else t for i, t in enumerate(texts)]
+        out = self._bytes(texts) if self.kind == "byte" else self._words(texts)
+        return [whole.get(i, ids) for i, ids in enumerate(out)] if whole else out
 
     def _words(self, texts: list[str | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]

@@ -32,10 +32,20 @@ def texts():
     return out + [r[1] or "" for r in documents()]
 
 
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_strings_of_added_tokens_and_long_stretches(path, kind):
+    tok, enc = Tokenizer.from_file(path), WordIds(path, kind)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    rng = random.Random(8)
+    solid = "".join(rng.choice("abcdefgh0123日本") for _ in range(100_000))
+    part = [f"hello {end} world", f"{end}hello", f"hello{end}", f"{start} a{end}{end}b \n{start}", "plain <|endoftext |> text", end, f"a {end.upper()} b", "", None, solid, f"{solid} {end}"]
+    for t, got in zip(part, enc.encode(part)):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)[:60]
+
+
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
 def test_cached_ids_are_the_library_s(path, kind):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     enc, all_ = WordIds(path, kind, entries=3000), texts()
     for lo in range(0, len(all_), 37):
         part = all_[lo : lo + 37]
@@ -45,7 +55,6 @@ def test_cached_ids_are_the_library_s(path, kind):
 
 def library_ids(path, rows, end):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return [[*e.ids, end] for e in tok.encode_batch([r[1] or "" for r in rows], add_special_tokens=False)]
 
 
