@@ -1,12 +1,15 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-A text's words (the code points of a text under SHORT of them) are hashed; of every run of five words the four hashes of word pairs are compared, and
-the run is an anchor if the smallest stands first or last. Whether a run is an anchor depends on its own
-words alone, so an edit elsewhere leaves it in place. A fingerprint lists ``position:hash`` of the
-anchors in order. A text without an anchor (few words) has one, of all its words, at position 0.
+A text's units are its words; a word of over LONG code points is cut into pieces, where its content says, and
+its wide characters stand alone, so that texts without blanks have units too. The units are hashed; of every
+run of five units the four hashes of pairs are compared, and the run is an anchor if the smallest stands
+first or last. Whether a run is an anchor depends on its own units alone, so an edit elsewhere leaves it in
+place. A fingerprint lists ``position:hash`` of the anchors in order. A text without an anchor (under five
+units, or rarely more) has one, of all its units, at position 0.
 
-Likeness is the Jaccard coefficient of distinct anchor hashes; ``positional_likeness`` also asks for equal
-positions. The next document follows in descending doc_id, the first after the last.
+Likeness is positional: an anchor counts as met if the other text has it too, as far behind the anchor before
+it; likeness is the Jaccard coefficient of the distinct anchors so placed. Texts of any length are treated
+alike. The next document follows in descending doc_id, the first after the last.
 
 Nulls: a null text is empty (its fingerprint has the anchor of no words); null doc_ids come last in the
 descending order. Equal doc_ids are ordered by a hash of their texts. A single row is its own next. An
@@ -23,8 +26,9 @@ from pyspark.sql.window import Window
 from lodestar.llm import scratch
 
 K, S = 5, 2
-#: Code points under which code points stand for words; such a text is like other short texts only.
-SHORT = 256
+#: Code points of a word above which it is cut: wide characters alone, others after a vowel or a low digit, or eight at most.
+LONG = 16
+_PIECES = "[\\x{0E00}-\\x{0EFF}\\x{2E80}-\\x{10FFFF}]|[^\\x{0E00}-\\x{0EFF}\\x{2E80}-\\x{10FFFF}]{0,7}?[aeiouAEIOU0-4]|[^\\x{0E00}-\\x{0EFF}\\x{2E80}-\\x{10FFFF}]{1,8}"
 _SPACES = "[\\x20\\x09-\\x0D]+"
 _TRIM = " \t\n\x0b\f\r"
 #: Quantiles of doc_id between which buckets are spread evenly.
@@ -38,8 +42,10 @@ def _let(value: Column, body) -> Column:
 
 def anchors(text: Column) -> Column:
     """Struct of anchor positions and 32-bit anchor hashes of a text."""
-    words = F.when(F.length(text) < SHORT, F.split(text, "")).otherwise(F.split(F.btrim(text, F.lit(_TRIM)), _SPACES))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    words = F.split(F.btrim(text, F.lit(_TRIM)), _SPACES)
+    cut = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(F.length(w) > LONG, F.regexp_extract_all(w, F.lit(_PIECES), F.lit(0))).otherwise(F.array(w))))
+    units = _let(words, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > LONG), cut(ws)).otherwise(ws))
+    hashes = F.transform(units, lambda w: F.xxhash64(w))
     none = F.struct(F.array(F.lit(0)).alias("at"), F.array(F.shiftrightunsigned(F.xxhash64(hashes), 32)).alias("hash"))
 
     def chosen(v: Column) -> Column:
@@ -66,13 +72,21 @@ def spelled(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two arrays of distinct anchor hashes."""
+    """Jaccard coefficient of two arrays of distinct placed anchors."""
     both = F.size(F.array_intersect(a, b))
     return _let(both, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
+def placed(found: Column) -> Column:
+    """Distinct anchors with their distance to the anchor before."""
+    at = found["at"]
+    before = F.concat(F.slice(at, 1, 1), F.slice(at, 1, F.size(at) - 1))
+    gaps = F.zip_with(at, before, lambda x, y: x - y)
+    return F.array_distinct(F.zip_with(found["hash"], gaps, lambda h, g: F.xxhash64(h, g)))
+
+
 def positional_likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two fingerprint strings' anchors at equal positions."""
+    """Jaccard coefficient of two fingerprint strings' anchors at equal places in their texts."""
     x, y = F.split(a, " "), F.split(b, " ")
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
@@ -127,13 +141,13 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     led = with_next(docs).withColumn("n_chars", n)
     edited = led.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
     both = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast(T.BinaryType()), 256).alias("edited_sha256"), "found", "next_found", anchors(F.col("edited")).alias("edited_found"))
-    sets = both.withColumn("a", F.array_distinct("found.hash"))
+    sets = both.withColumn("a", placed(F.col("found")))
     return sets.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         spelled(F.col("found")).alias("fingerprint"),
         spelled(F.col("edited_found")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.array_distinct("edited_found.hash")).alias("near_edited"),
-        likeness(F.col("a"), F.array_distinct("next_found.hash")).alias("near_next"),
+        likeness(F.col("a"), placed(F.col("edited_found"))).alias("near_edited"),
+        likeness(F.col("a"), placed(F.col("next_found"))).alias("near_next"),
     )
