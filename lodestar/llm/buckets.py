@@ -23,7 +23,7 @@ from lodestar.llm import scratch
 from lodestar.llm.components import components
 
 #: Rows of a bucket or cluster that one task compares at once on one side, and bytes of their contents.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: (n1, sketch1, n2, sketch2) to whether a pair is worth confirming.
 Likely = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Whether two nodes' contents make a link.

@@ -175,4 +175,4 @@ def keep_first(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     """The document with the smallest doc_id of each component, in the columns they came with."""
     gone = classes(_rows(docs), numerator).filter("doc <> root").select(F.col("doc").alias("_gone")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")
+    return rows.join(gone.hint("merge"), F.col("_doc") == F.col("_gone"), "left_anti").select("_row.*")

@@ -56,7 +56,7 @@ def restored(docs: DataFrame, rows: DataFrame, items: DataFrame, strip) -> DataF
     ``strip`` maps batches of row, text and items to row, text and whether there were items. A null text stays null
     where nothing is taken from it.
     """
-    joined = rows.join(items, ["doc", "tie"], "left").select("row", "text", "items")
+    joined = rows.join(items.hint("merge"), ["doc", "tie"], "left").select("row", "text", "items")
     out = joined.mapInArrow(strip, f"row {rows.schema['row'].dataType.simpleString()}, text string, hit boolean")
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:

@@ -220,7 +220,7 @@ def repeated_spans(rows: DataFrame, min_words: int) -> DataFrame:
     gone = judged.filter("doc > first").select("doc", "tie", "at", "n")
     open_ = judged.filter("doc = first")
     lists = scratch.table(open_.groupBy("doc", "tie").agg(F.collect_set(F.struct("anchor", "at", "n")).alias("items")), "substring-open")
-    regions = scratch.table(rows.select("doc", "tie", "text").join(lists, ["doc", "tie"]).dropDuplicates(["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_regions(min_words), _REGIONS), "substring-regions")
+    regions = scratch.table(rows.select("doc", "tie", "text").join(lists.hint("merge"), ["doc", "tie"]).dropDuplicates(["doc", "tie"]).select("doc", "tie", "text", "items").mapInArrow(_regions(min_words), _REGIONS), "substring-regions")
     scratch.release(rows.sparkSession)
     large = judged.filter((F.col("kinds") > MAX_SHARD_RUNS) | (F.col("words") > MAX_SHARD_WORDS)).select("anchor").distinct()
     small = regions.join(large, "anchor", "left_anti").select("doc", "tie", "anchor", "at", "n", "words")
@@ -270,7 +270,7 @@ def _digest(min_words: int):
 def removal_digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Words, removed words and checksum of the kept words of every document."""
     rows = _keyed(docs, ["doc_id"])
-    joined = rows.join(repeated_spans(rows, min_words), ["doc", "tie"], "left")
+    joined = rows.join(repeated_spans(rows, min_words).hint("merge"), ["doc", "tie"], "left")
     return joined.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "items").mapInArrow(_digest(min_words), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
