@@ -6,7 +6,8 @@ place and records for every normalised byte the source byte it came from, so tha
 to a span of original bytes. Merging takes the highest-scored pair, the leftmost among equals. No piece
 holds a space mark after another character, so a text is encoded stretch by stretch and stretches are
 held in a bounded cache, words with their ids, the spans of these and the bytes that these decode to.
-The query decodes its ids and checks that their spans cover the text without a gap.
+The query decodes its ids and checks that their spans cover the text without a gap. A stretch of any length is
+encoded whole, in time n log n.
 
 Nulls: a null text is empty (no ids, empty decoded text); a null doc_id stays null. Repeated rows give
 equal rows. An empty table gives no rows. Other columns are ignored.
@@ -15,6 +16,7 @@ equal rows. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CACHE_ENTRIES = 600_000
 SLICE = 256
+#: Characters of a stretch up to which all pairs are looked through for each merge.
+SHORT_STRETCH = 48
 _STRETCH = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SPANS = "doc_id long, ids array<int>, begins array<long>, ends array<long>, decoded string"
@@ -162,6 +166,8 @@ class PieceModel:
 
     def merge(self, stretch: str) -> list[str]:
         """Pieces of one stretch: highest-scored pair first, leftmost among equals."""
+        if len(stretch) > SHORT_STRETCH:
+            return self._merge_long(stretch)
         syms, scores = list(stretch), self.scores
         pairs = [scores.get(a + b) for a, b in zip(syms, syms[1:])]
         while True:
@@ -178,6 +184,27 @@ class PieceModel:
             if at < len(pairs):
                 pairs[at] = scores.get(syms[at] + syms[at + 1])
 
+    def _merge_long(self, stretch: str) -> list[str]:
+        """The same by a heap over a linked list, for stretches of any length."""
+        syms, scores = list(stretch), self.scores
+        n = len(syms)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(-s, i, a + b) for i, (a, b) in enumerate(zip(syms, syms[1:])) if (s := scores.get(a + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, piece = heapq.heappop(heap)
+            j = after[i] if syms[i] else -1
+            if j < 0 or syms[i] + syms[j] != piece:
+                continue  # one of the two has been merged since
+            syms[i], syms[j] = piece, ""
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (s := scores.get(syms[a] + syms[b])) is not None:
+                    heapq.heappush(heap, (-s, a, syms[a] + syms[b]))
+        return [s for s in syms if s]
+
     def stretch(self, stretch: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
         """Ids of one stretch and the span of each in its bytes; the bytes of a fallback character share its span."""
         got = self.cache.get(stretch)

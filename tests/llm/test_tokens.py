@@ -228,3 +228,15 @@ def test_digests_come_from_ids_and_spans(library):
     wrong = pieces.PieceModel(PIECE)
     wrong.pieces[wrong.encode("one house")[-1]] = "▁mouse"
     assert wrong.id_strings(["one house"])[0][1] != "one house"
+
+
+def test_long_stretches_merge_by_the_heap(library, monkeypatch):
+    rng, model = random.Random(5), pieces.PieceModel(PIECE)
+    for bound in (0, 48):
+        monkeypatch.setattr(pieces, "SHORT_STRETCH", bound)
+        model.cache.clear()
+        for _ in range(300):
+            t = "".join(rng.choice("abcdeiou stнд日,.1") for _ in range(rng.randrange(150)))
+            assert model.encode(t) == library.encode(t)
+    solid = "".join(rng.choice("abcdefgh日") for _ in range(100_000))
+    assert model.encode(solid) == library.encode(solid)
