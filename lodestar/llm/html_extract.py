@@ -3,8 +3,8 @@
 A page is read into blocks: stretches of text between block-level tags or line breaks. A block is seen as a
 vector of its tag path (hashed tag names, class and id words, fading with distance), of its hashed words,
 and of a few shares (links, punctuation, place on the page). A bidirectional LSTM in numpy reads the blocks
-of the whole page in both directions and labels each as main text or not. Scripts, styles, comments and
-other elements that hold no text are no blocks.
+of the whole page in both directions and labels each as main text or not. Scripts, styles, templates, titles,
+text areas, frames and comments are no blocks; what stands in other elements is read.
 
 The labeller is trained on TRAIN_PAGES labelled pages, a fixed number whatever the input, that
 :func:`labelled_page` makes from a seed: articles of invented words between menus, headers, footers,
@@ -41,8 +41,8 @@ FADE = 0.85
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript title textarea iframe noframes xmp svg object math canvas audio video".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp input label".split())
+_RAW = frozenset("script style template title textarea iframe xmp".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp input label math mrow mi mo mn msup msub msubsup mfrac msqrt mtext semantics".split())
 _CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "tr td th thead"}
 _CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
 _SCOPE = frozenset("ul ol dl table select div section article main aside nav body".split())
@@ -55,6 +55,16 @@ _BETWEEN[[b for b in range(128) if not chr(b).isalnum()]] = True
 _MARK = "\ue000"
 
 
+def _closed(source: str) -> tuple[str, str]:
+    """The page up to its last tag's end, and the text behind it, where no tag and only a comment can begin."""
+    last = source.rfind(">") + 1
+    main, tail = source[:last], source[last:]
+    for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+        at = main.rfind(begin)
+        tail = "" if at >= 0 and main.find(end, at) < 0 else tail.split(begin, 1)[0]
+    return main, tail
+
+
 @functools.lru_cache(1 << 14)
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of the class, id, role and itemprop of a tag."""
@@ -124,6 +134,7 @@ class Page:
                     self._path = stack[-1][1]
                 self._parts.append((text, links > 0))
 
+        source, tail = _closed(source)
         find = _TAG.search
         while m := find(source, at):
             say(source[at : m.start()])
@@ -144,6 +155,7 @@ class Page:
             if tag in _RAW:
                 end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
+                tail = tail if end else ""
                 continue
             if tag in _VOID or rest.endswith("/>") and tag not in _INLINE and tag not in _SCOPE and tag != "p":
                 continue
@@ -164,6 +176,7 @@ class Page:
             open_[tag] = open_.get(tag, 0) + 1
             links += tag == "a"
         say(source[at:])
+        say(tail)
         self._flush()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -105,3 +106,26 @@ def test_nulls_empty_tables_and_long_pages(model, spark):
     assert got[1:3] == [(1, 0, 0), (2, 0, 0)] and got[3] == got[4]
     assert got[3][2] == 19999
     assert H.extract(pages.limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ("<article><p>one</p><svg><p>two</p><p>three</p></article>", ["one", "two", "three"]),
+        ('<p>a</p><svg width="1"/><p>b</p><video><p>c</p></video>', ["a", "b", "c"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+        ("<noscript><p>plain</p></noscript><script>var a = '<p>no</p>'</script>", ["plain"]),
+        ("<p>a</p><!-- x > y", ["a"]),
+        ("x < y and <b", ["x < y and <b"]),
+    ],
+)
+def test_no_text_is_lost(source, texts):
+    assert H.Page(source).texts == texts
+
+
+@pytest.mark.parametrize("flood", ["<a ", "<!", "<a '", "</a", "<![CDATA[", '<a href="x '])
+@pytest.mark.parametrize("end", ["", "<p>z</p>"])
+def test_floods_of_open_tags_are_read_in_linear_time(flood, end):
+    start = time.perf_counter()
+    H.Page(flood * (1_000_000 // len(flood)) + end)
+    assert time.perf_counter() - start < 5
