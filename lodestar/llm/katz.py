@@ -41,6 +41,8 @@ from lodestar.llm.textcore import U, buffers, groups, mix, words
 ORDER, K, LARGE = 3, 5, 0.05
 #: Bytes of text in a chunk (a longer document is a chunk of its own) and for each bucket.
 CHUNK_BYTES, BUCKET_BYTES = 1 << 22, 10 << 20
+#: Shares of the chunks that are scored one after another.
+ROUNDS = 3
 END, START = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
 _STEP = U(0x9E3779B97F4A7C15)
 _CHUNKS = "part long, docs binary, nulls binary, sizes binary, held binary, words array<binary>, tokens binary"
@@ -468,8 +470,13 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(model: Model) -> DataFrame:
     """Counts, unigram base score and log10 probability of every document of the model's table."""
     answered = model.answers.filter("part is not null").select("part", "ord", "bucket", "counts", "owned", "wanted")
-    states = scratch.table(model.chunks.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_score(model.order, model.buckets, model.stats), _SUMS), "katz-states")
-    scratch.release(model.chunks.sparkSession)
+    states = None
+    for k in range(ROUNDS):  # only a share of the chunks and their answers is in shuffle files at a time
+        own = F.pmod(F.xxhash64("part"), F.lit(ROUNDS)) == k
+        both = model.chunks.filter(own).groupBy("part").cogroup(answered.filter(own).groupBy("part"))
+        part = scratch.table(both.applyInArrow(_score(model.order, model.buckets, model.stats), _SUMS), "katz-states")
+        scratch.release(model.chunks.sparkSession)
+        states = part if states is None else states.unionByName(part)
     weighed = states.filter("bucket >= 0").groupBy("bucket", "ord").applyInArrow(_weigh_row, "bucket int, " + _PARTIAL)
     return states.filter("bucket < 0").groupBy("part").cogroup(weighed.groupBy("part")).applyInArrow(_finish(model.stats), _DOCS)
 
