@@ -177,6 +177,17 @@ def _stem(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '^\\p{{L}}') AND strlen({x}) > 3 THEN {_strip(x)} ELSE {x} END"
 
 
+def _soundex(x: str) -> str:
+    """First letter and digits: h and w go, equal neighbours fall together, then the rest without a digit goes."""
+    letters = f"regexp_replace(lower({x}), '[^a-z]', '', 'g')"
+    rest = f"regexp_replace(substr({letters}, 2), '[hw]', '', 'g')"
+    digits = f"translate(left({letters}, 1) || {rest}, 'abcdefghijklmnopqrstuvwxyz', '01230120022455012623010202')"
+    for d in "0123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    code = f"left(left({letters}, 1) || regexp_replace(substr({digits}, 2), '0', '', 'g') || '000', 4)"
+    return f"CASE WHEN regexp_matches({x}, '^[A-Za-z]') THEN {code} ELSE {x} END"
+
+
 def _terms(topics: dict[int, list[str]]) -> list[str]:
     return sorted({t for ts in topics.values() for t in ts})
 
@@ -185,9 +196,9 @@ def _asked(terms: list[str]) -> str:
     return f"asked(qterm) AS (VALUES {', '.join(f'({t!r})' for t in terms)})"
 
 
-def _variants(terms: list[str]) -> str:
+def _variants(terms: list[str], stem=_stem) -> str:
     return f"""{_asked(terms)},
-vs AS (SELECT qterm, term FROM asked JOIN dict ON {_stem('dict.term')} = {_stem('asked.qterm')} WHERE left(dict.term, 1) = left({_stem('asked.qterm')}, 1) OR dict.term = qterm)"""
+vs AS (SELECT qterm, term FROM asked JOIN dict ON {stem('dict.term')} = {stem('asked.qterm')} WHERE left(dict.term, 1) = left({stem('asked.qterm')}, 1) OR dict.term = qterm)"""
 
 
 def _conflated(variants: str, raw: str = "raw") -> str:
@@ -341,15 +352,15 @@ def oracle_sql() -> dict[str, str]:
     out["collection_stats"] = f"WITH {BASE} SELECT n, l, round(adl, 6) AS adl FROM st"
     out["tag_terms"] = r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<\?.*?\?>', ' ', 'g'), '<([A-Za-z_][\w.:-]*)', 1)) AS term FROM pages)
 SELECT upper(term) AS term, count(*) AS cf, count(DISTINCT page_id) AS df FROM t GROUP BY upper(term)"""
-    out["page_dictionary"] = f"WITH {PAGES} SELECT term, cf, df FROM dict WHERE term >= 'a' AND term < 'b'"
+    out["page_dictionary"] = f"WITH {PAGES} SELECT term, cf, df FROM dict"
     out["index_tagged"] = rf"""WITH {PAGES}, t AS (SELECT page_id AS docid, upper(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<\?.*?\?>', ' ', 'g'), '<([A-Za-z_][\w.:-]*)', 1))) AS term FROM pages)
-SELECT term, count(*) AS cf, count(DISTINCT docid) AS df FROM t JOIN d USING (docid) WHERE term >= 'A' AND term < 'Z' GROUP BY term"""
+SELECT term, count(*) AS cf, count(DISTINCT docid) AS df FROM t JOIN d USING (docid) GROUP BY term UNION ALL SELECT term, cf, df FROM dict"""
     describe = "SELECT count(*) AS documents, sum(dl)::BIGINT AS terms, max(dl) AS longest, round(avg(dl), 6) AS mean_length, (SELECT count(*) FROM {0}) AS unique_terms FROM d"
     out["describe_index"] = f"WITH {BASE} " + describe.format("dict")
     out["index_without_numbers"] = f"WITH {_base(r'(\p{L}+)')} " + describe.format("dict")
     stop = "(" + ", ".join(map(repr, STOP)) + ")"
     out["index_stopped"] = f"WITH {BASE}, x AS (SELECT * FROM dict WHERE term NOT IN {stop}) " + describe.format("x")
-    out["index_s_stemmed"] = f"WITH {BASE}, x AS (SELECT {_stem('term')} AS term, docid, sum(raw) AS raw FROM p GROUP BY ALL) SELECT term, sum(raw)::BIGINT AS cf, count(*) AS df FROM x WHERE term >= 'm' AND term < 'n' GROUP BY term"
+    out["index_s_stemmed"] = f"WITH {BASE}, x AS (SELECT {_stem('term')} AS term, docid, sum(raw) AS raw FROM p GROUP BY ALL) SELECT term, sum(raw)::BIGINT AS cf, count(*) AS df FROM x GROUP BY term"
     out["facet_terms"] = "SELECT term, count(*) AS cf FROM (SELECT chr(128) || 'role:' || lower(coalesce(regexp_extract(role, '^[\\p{L}\\p{N}:-]*'), 'none')) AS term FROM conversations) GROUP BY term"
     out["scrub"] = "SELECT doc_id, md5(regexp_replace(text, '[^\\x01-\\x7F]', ' ', 'g')) AS scrubbed FROM documents"
     out["filter_exclude"] = "SELECT doc_id, lang FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)"
@@ -402,8 +413,24 @@ s AS (SELECT topic, docid, round(sum(times * {_BM25}), 6) AS rsv FROM (SELECT q.
     out["quantize_by_size"] = f"WITH {BASE},\n{_impacts(_DIV, '(SELECT floor(5.4 + 5.4e-4 * sqrt(n)) FROM st)')}\nSELECT impact, count(*) AS postings FROM ii GROUP BY impact"
     out["merge_indexes"] = out["dictionary"]
     out["broker_merge"] = _shards()
+    out["stem_soundex"] = f"WITH {BASE} SELECT term, {_soundex('term')} AS stem FROM dict"
+    plain_line = "regexp_replace(coalesce(text, ''), '[\\t\\n\\r]', ' ', 'g')"
+    out["read_tsv"] = f"SELECT doc_id::VARCHAR AS name, md5(regexp_replace({plain_line}, '[^\\x01-\\x7F]', ' ', 'g')) AS body_md5 FROM documents WHERE doc_id IS NOT NULL"
+    out["read_lines"] = f"SELECT md5({plain_line}) AS name_md5, md5({plain_line}) AS body_md5 FROM documents"
+    out["read_trec"] = "SELECT doc_id::VARCHAR AS name, md5(chr(10) || '<DOCNO> ' || doc_id || ' </DOCNO>' || chr(10) || coalesce(text, '') || chr(10)) AS body_md5 FROM documents WHERE doc_id IS NOT NULL"
+    out["read_warc"] = "SELECT 'http://host/' || page_id AS name, md5(coalesce(html, '')) AS body_md5 FROM pages WHERE page_id IS NOT NULL"
+    out["search_stored"] = _rank("bm25")
+    out["eval_ia_err"] = f"""WITH {BASE},
+{_run(JUDGED, DEPTH)},
+{_QRELS},
+sb AS (SELECT DISTINCT topic, subtopic, docid FROM qrels WHERE rel > 0),
+ns AS (SELECT topic, count(DISTINCT subtopic) AS subtopics FROM sb GROUP BY topic),
+hits AS (SELECT topic, rank, row_number() OVER (PARTITION BY topic, subtopic ORDER BY rank) - 1 AS before FROM sb JOIN run USING (topic, docid) WHERE rank <= 10),
+got AS (SELECT topic, sum(pow(0.5, before) / rank) AS v FROM hits GROUP BY topic)
+SELECT ns.topic::BIGINT AS topic, round(coalesce(v, 0) / (subtopics * (SELECT sum(pow(0.5, r - 1) / r) FROM range(1, 11) t(r))), 6) AS value FROM ns LEFT JOIN got USING (topic)"""
     out["stem_s"] = f"WITH {BASE} SELECT term, {_stem('term')} AS stem FROM dict"
     out["conflate_s"] = _conflated(_variants(_terms(TOPICS)))
+    out["conflate_soundex"] = _conflated(_variants(_terms(TOPICS), _soundex))
     out["thesaurus_inplace"] = _conflated(_thesaurus())
     out["thesaurus_expand"] = _rank("bm25", _expanded())
     four = _similar(_variants(["rent", "mentan", "lele", "qui"]))

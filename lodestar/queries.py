@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from lodestar.functions import text as T
 from lodestar.functions.stem import stem
 from lodestar.operators import boolean, evaluate, expand, feedback, graph, index as ix, maintain, pregen, present, rankers, readability, search as se, term_models, topsig
 from lodestar.plans import nexi, topics as tp
-from lodestar.sources import filters
+from lodestar.sources import filters, readers
+from lodestar.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,8 +107,12 @@ def tag_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("cf"), F.count_distinct("page_id").alias("df"))
 
 
+def _whole(index: ix.Index) -> DataFrame:
+    return index.dictionary.select("term", "cf", "df")
+
+
 def page_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.dictionary_range(_page_index(spark, sf_dir), "a", "b")
+    return _whole(_page_index(spark, sf_dir))
 
 
 def index_without_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +124,12 @@ def index_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_s_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.dictionary_range(ix.build_index(_docs(spark, sf_dir), stemmer="s"), "m", "n")
+    return _whole(ix.build_index(_docs(spark, sf_dir), stemmer="s"))
 
 
 def index_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).withColumn("text", T.markup_text(F.col("html")))
-    return ix.dictionary_range(ix.build_index(pages, "page_id", tags=T.tag_terms(F.col("html"))), "A", "Z")
+    return _whole(ix.build_index(pages, "page_id", tags=T.tag_terms(F.col("html"))))
 
 
 def facet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,8 +500,57 @@ RANKED: dict[str, Callable[[], rankers.Ranker]] = {
 }
 
 
+def _written(lines: DataFrame, name: str, **options: str) -> str:
+    """Folder of text files with the one column of ``lines``, written where driver and executors share it."""
+    path = f"{shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.write.options(**options).text(path)
+    return path
+
+
+def _one_line(text: str = "text"):
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\n\r]", " ")
+
+
+def _digests(read: DataFrame) -> DataFrame:
+    return read.select("name", F.md5("body").alias("body_md5"))
+
+
+def read_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as lines of name, tab and text, written and read back scrubbed."""
+    lines = _docs(spark, sf_dir).filter("doc_id is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), _one_line()))
+    return _digests(readers.read_tsv(spark, _written(lines, "tsv")))
+
+
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as lines, compressed; each line is its own name."""
+    lines = readers.read_lines(spark, _written(_docs(spark, sf_dir).select(_one_line()), "lines", compression="gzip"))
+    return lines.select(F.md5("name").alias("name_md5"), F.md5("body").alias("body_md5"))
+
+
+def read_trec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in tags, written and read back record by record."""
+    tagged = F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n"), F.coalesce("text", F.lit("")), F.lit("\n</DOC>"))
+    return _digests(readers.read_trec(spark, _written(_docs(spark, sf_dir).filter("doc_id is not null").select(tagged), "trec")))
+
+
+def read_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as response records of compressed web archives."""
+    html = F.coalesce("html", F.lit(""))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://host/"), F.col("page_id").cast("string"), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    records = _pages(spark, sf_dir).filter("page_id is not null").select(F.concat(head, html, F.lit("\r\n\r\n")))
+    return _digests(readers.read_warc(spark, _written(records, "warc", compression="gzip")))
+
+
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index that was written as tables bucketed by term and loaded again."""
+    name = f"stored_{uuid.uuid4().hex}"
+    ix.write_index(_index(spark, sf_dir), name, 16)
+    return se.search(ix.load_index(spark, name), TOPICS, rankers.bm25(), K)
+
+
 def queries() -> dict[str, Query]:
     plain = [
+        read_tsv, read_lines, read_trec, read_warc, search_stored,
         tokenize, doc_lengths, postings, dictionary, collection_stats, tag_terms, page_dictionary, index_without_numbers, index_stopped, index_s_stemmed, index_tagged, facet_terms, scrub, filter_exclude, filter_include, spam_filter, ham_filter, mime_filter,
         rank_lmp, rank_lmptfidf, rank_bm25t, rank_bm25adpt, rank_readable, rank_pregen, rank_impact, rank_blended, topk_page, hit_counts, topic_table_search, nexi_cas, stop_query, boolean_ranked, static_prune, quantum_prune, search_pruned, cull_singletons, cull_rare, cull_frequent, cull_stopped,
         quantize_bm25, quantize_by_size, merge_indexes, broker_merge, stem_s, thesaurus_inplace, thesaurus_expand, term_similarity, similarity_threshold, similarity_weighted, feedback_kl, feedback_terms, feedback_rm, more_like_this, rerank_topk, kendall_tau, eval_bundle, perfect_run_map, page_links, inlink_count, pagerank,

@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder named by ``spark.checkpoint.dir`` is used; one is made only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestar-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one is made only where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and held.isDefined():
+        base = held.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
