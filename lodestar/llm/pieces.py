@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ CACHE_ENTRIES = 600_000
 SLICE = 256
 #: Characters of a stretch up to which all pairs are looked through for each merge.
 SHORT_STRETCH = 48
+NEVER = float("-inf")
 _STRETCH = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SPANS = "doc_id long, ids array<int>, begins array<long>, ends array<long>, decoded string"
@@ -130,6 +132,9 @@ class PieceModel:
         self.map = CharMap(charsmap)
         self.cache: dict[str, tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = {}
         self.words: dict[str, tuple[str, bytes, bytes, int, int] | None] = {}
+        self.names, self.path, self.library = [str(i) for i in range(len(self.pieces))], path, None
+        self.sizes = self._sizes()
+        self.spelled: tuple[list[str], list[bytes]] | None = None
         self.plain = not charsmap and self.prefix and not self.squeeze
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
@@ -168,21 +173,17 @@ class PieceModel:
         """Pieces of one stretch: highest-scored pair first, leftmost among equals."""
         if len(stretch) > SHORT_STRETCH:
             return self._merge_long(stretch)
-        syms, scores = list(stretch), self.scores
-        pairs = [scores.get(a + b) for a, b in zip(syms, syms[1:])]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(pairs):
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return syms
+        syms, get = list(stretch), self.scores.get
+        pairs = [get(a + b, NEVER) for a, b in zip(syms, syms[1:])]
+        while pairs and (best := max(pairs)) != NEVER:
+            at = pairs.index(best)
             syms[at : at + 2] = [syms[at] + syms[at + 1]]
-            pairs[at : at + 1] = []
+            del pairs[at]
             if at:
-                pairs[at - 1] = scores.get(syms[at - 1] + syms[at])
+                pairs[at - 1] = get(syms[at - 1] + syms[at], NEVER)
             if at < len(pairs):
-                pairs[at] = scores.get(syms[at] + syms[at + 1])
+                pairs[at] = get(syms[at] + syms[at + 1], NEVER)
+        return syms
 
     def _merge_long(self, stretch: str) -> list[str]:
         """The same by a heap over a linked list, for stretches of any length."""
@@ -238,12 +239,15 @@ class PieceModel:
             at += len(s.encode())
         return ids, align[np.array(begins, np.int64)].tolist(), align[np.array(ends, np.int64)].tolist()
 
+    def _spelling(self) -> list[bytes]:
+        """What each id decodes to."""
+        if self.spelled is None or self.spelled[0] is not self.pieces:
+            normal = set(self.ids.values())
+            self.spelled = self.pieces, [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() if i in normal else b"" for i, p in enumerate(self.pieces)]
+        return self.spelled[1]
+
     def _bytes(self, ids: list[int] | tuple[int, ...]) -> bytes:
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            out += bytes([b]) if b is not None else self.pieces[i].replace(MARK, " ").encode() if i in self._normal() else b""
-        return bytes(out)
+        return b"".join(map(self._spelling().__getitem__, ids))
 
     def _text(self, raw: bytes, first: int | None) -> str:
         text = raw.decode(errors="replace")
@@ -252,25 +256,41 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         return self._text(self._bytes(ids), ids[0] if ids else None)
 
-    def _normal(self) -> set[int]:
-        if not hasattr(self, "_normal_ids"):
-            self._normal_ids = set(self.ids.values())
-        return self._normal_ids
-
     def _fill(self, missing: list[str]) -> None:
-        """Ids, what they decode to, their spans from the space before the word on, the first id and the word's bytes."""
-        for w in missing:
-            if not w or w[-1] == MARK:
-                self.words[w] = None  # it can join the next stretch: the whole text is taken apart instead
-                continue
-            ids, spans, at = [], [], 0
-            for s in _STRETCH.findall(MARK + w):
-                own, first, last = self.stretch(s)
-                ids += own
-                # the mark is three bytes here and one in the source
-                spans += [(max(at + a - 2, 0), at + b - 2) for a, b in zip(first, last)]
-                at += len(s.encode())
-            self.words[w] = ",".join(map(str, ids)), self._bytes(ids), np.array(spans, np.int32).tobytes(), ids[0], len(w.encode())
+        """Ids, what they decode to, their spans from the space before the word on, the first id and the word's bytes.
+
+        The library splits the words, many in one call; :meth:`merge` gives the same pieces. Spans are laid out from
+        the pieces' lengths, the space mark being three bytes in a piece and one in the source.
+        """
+        whole = [w for w in missing if w and w[-1] != MARK]
+        # any other can join the next stretch: the whole text is taken apart instead
+        self.words.update(dict.fromkeys((w for w in missing if not w or w[-1] == MARK), None))
+        if not whole:
+            return
+        if self.library is None:
+            from sentencepiece import SentencePieceProcessor
+
+            self.library = SentencePieceProcessor(model_file=self.path)
+        found = self.library.encode(whole)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(n.sum()))
+        size = self.sizes[flat]
+        lead = np.maximum.accumulate(np.where(size > 0, np.arange(len(flat)), 0))  # later bytes of a fallback character share its span
+        edge = np.concatenate([[0], np.cumsum(n)])
+        end = np.cumsum(size)
+        base = np.repeat(np.concatenate([[0], end])[edge[:-1]], n) + 2
+        spans = np.stack([np.maximum((end - size)[lead] - base, 0), end[lead] - base], axis=1).astype(np.int32).tobytes()
+        bytes_ = (np.add.reduceat(size, edge[:-1]) - 3).tolist()
+        name, spelled = self.names.__getitem__, self._spelling().__getitem__
+        for k, (w, ids) in enumerate(zip(whole, found)):
+            self.words[w] = ",".join(map(name, ids)), b"".join(map(spelled, ids)), spans[8 * edge[k] : 8 * edge[k + 1]], ids[0], bytes_[k]
+
+    def _sizes(self) -> np.ndarray:
+        """Bytes that each id stands for in a normalised text; those of a fallback character stand with its first byte."""
+        out = np.array([len(p.encode()) for p in self.pieces])
+        for i, b in self.byte_of.items():
+            out[i] = 0 if b & 0xC0 == 0x80 else 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+        return out
 
     def encoded(self, texts: list[str | None]) -> list[tuple[str, str, np.ndarray, np.ndarray]]:
         """(decimal ids joined by commas, text decoded from them, first and end source byte of each) of each text."""
