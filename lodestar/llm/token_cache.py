@@ -20,6 +20,8 @@ CACHE_ENTRIES = 1_000_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A run of Latin letters, and punctuation after it.
+_WORD = re.compile(f"({_LETTERS.pattern})([{re.escape(_MARKS)}]*)")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -55,9 +57,16 @@ class WordIds:
 
         Letters with punctuation after them are two parts, and a lone line break is one of its own.
         """
-        alone, parts = [], {}
+        alone, parts, ended = [], {}, []
+        word, held = _WORD.fullmatch, cache.get
         for w in missing:
-            if self.newline is not None and (not w or w[0].isspace() or w[-1].isspace()):
+            if m := word(w):
+                core, tail = m.groups()
+                if (ids := held(core)) is None:
+                    cache[core] = ids = self._letters(core, lead)
+                if tail:
+                    ended.append((w, ids, tail))
+            elif self.newline is not None and (not w or w[0].isspace() or w[-1].isspace()):
                 cache[w] = None
             elif self.newline is not None and "\n" in w:
                 rows = w.split("\n")
@@ -69,7 +78,7 @@ class WordIds:
                 parts[w] = [core, w[len(core) :]]
             else:
                 alone.append(w)
-        known, heads, tails = frozenset(alone), dict.fromkeys(alone), set()
+        known, heads, tails = frozenset(alone), dict.fromkeys(alone), {tail for *_, tail in ended}
         for p in parts.values():
             if p[0] not in cache:
                 heads[p[0]] = None
@@ -81,6 +90,9 @@ class WordIds:
         self._encode(cache, list(heads), lead)
         if tails := [p for p in tails if p not in self.first]:
             self._fill(self.first, tails, "")
+        first = self.first
+        for w, ids, tail in ended:
+            cache[w] = ids + first[tail]
         gap = b"" if self.newline is None else np.array([self.newline], "<u4").tobytes()
         for w, p in parts.items():
             got = [cache[p[0]], *(self.first[x] for x in p[1:])]
@@ -89,7 +101,7 @@ class WordIds:
     def _letters(self, w: str, lead: str) -> bytes:
         """A run of Latin letters is one part of the split, so the library's merges can be asked for directly."""
         text = lead + w if self.newline is not None else w.lower()
-        if lead or not text.isascii():
+        if lead or not w.isascii():
             text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
@@ -129,7 +141,7 @@ class WordIds:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) + len(self.first) > self.entries:
+        if len(self.cache) + (len(self.first) if self.first is not self.cache else 0) > self.entries:
             self.cache.clear()
             self.first.clear()
         whole = {i: self.whole(t) for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
