@@ -107,6 +107,28 @@ def test_overlapping_shards_and_periods(spark, monkeypatch, most):
     assert got == brute_spans(rows)
 
 
+def test_shards_stay_whole_where_spark_broadcasts_small_tables(spark, monkeypatch):
+    """Many shards of runs that differ and some large ones, under settings that turn joins into broadcasts as they run."""
+    monkeypatch.setattr(substring_dedup, "MAX_SHARD_RUNS", 8)
+    rng = random.Random(33)
+    words = [f"w{k}" for k in range(2000)]
+    rows = []
+    for k in range(600):
+        passage = [rng.choice(words) for _ in range(80)] if k % 6 == 0 and k < 560 else passage
+        head, tail = rng.randrange(20), rng.randrange(60, 80)
+        rows.append((k, " ".join([*(rng.choice(words) for _ in range(60)), *passage[head:tail], *(rng.choice(words) for _ in range(60))])))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "8k", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_spans(rows)
+
+
 def test_suffix_automaton_matches_brute_force():
     rng = random.Random(2)
     for _ in range(40):
