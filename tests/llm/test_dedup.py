@@ -8,9 +8,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestar.llm import line_dedup, minhash_dedup, substring_dedup
+from lodestar.llm import buckets, line_dedup, minhash_dedup, substring_dedup
 from tests.llm.fixtures import SCHEMA, WORDS, documents, sentence, with_clashes
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
@@ -69,6 +70,14 @@ def test_hot_group_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in out} == {0} and len(out) == 3000
 
 
+@pytest.mark.parametrize("trees, links", [([7] * 6, 0), ([7, 7, 7, 8, 8, 8], 1), ([1, 2, 3, 4, 5, 6], 5)])
+def test_nodes_of_one_tree_are_not_spanned_again(trees, links):
+    n = len(trees)
+    rows = pa.RecordBatch.from_pydict({"i": [0] * n, "j": [0] * n, "side": [2] * n, "key": [3] * n, "node": [*range(1, n + 1)], "n": [9] * n, "sketch": [0] * n, "comp": [*range(1, n + 1)], "tree": trees})
+    out = list(buckets._across(lambda a, b, c, d: np.ones(np.broadcast(a, c).shape, bool), iter([rows])))
+    assert sum(b.num_rows for b in out) == links
+
+
 def brute_spans(rows, k=50):
     first = {}
     words = {i: SPLIT.findall(t or "") for i, t in rows}
