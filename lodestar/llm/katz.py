@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import scratch
-from lodestar.llm.textcore import U, buffers, groups, mix, words
+from lodestar.llm.textcore import U, buffers, give_back, giving_back, groups, mix, split_groups
 
 ORDER, K, LARGE = 3, 5, 0.05
 #: Bytes of text in a chunk (a longer document is a chunk of its own) and for each bucket.
 CHUNK_BYTES, BUCKET_BYTES = 1 << 22, 10 << 20
+#: Bytes of a chunk whose words are hashed at once.
+HASH_BYTES = 1 << 20
 #: Shares of the chunks that are scored one after another.
 ROUNDS = 3
 END, START = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
@@ -159,14 +161,15 @@ def _chunks(hold: Hold):
         def chunk(rows: pa.Table) -> pa.RecordBatch:
             nonlocal part
             ids = rows.column(0).to_pylist()
-            h, w = words(*buffers(rows.column(1)), True)
+            parts = [(h, np.diff(w)) for _, _, h, w in split_groups(rows.column(1), True, HASH_BYTES)]
+            h, size = (np.concatenate(x) for x in zip(*parts))
             vocabulary, at, times = np.unique(h, return_inverse=True, return_counts=True)
             often = -np.log2(times).astype(np.int64)  # words of about one frequency stand together, frequent ones first
             order = np.argsort(often, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             runs = np.split(vocabulary[order], np.flatnonzero(np.diff(often[order])) + 1)
-            cols = [np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), np.diff(w).astype(np.int64), np.array([hold(d) for d in ids])]
+            cols = [np.array([d or 0 for d in ids], np.int64), np.array([d is None for d in ids]), size.astype(np.int64), np.array([hold(d) for d in ids])]
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.array([[pack_sorted(r) for r in runs]], pa.list_(pa.binary())), pa.array([pack_numbers(place[at])], pa.binary())], names=["part", "docs", "nulls", "sizes", "held", "words", "tokens"])
             part += 1
             return out
@@ -182,6 +185,7 @@ def _chunks(hold: Hold):
                     waiting, size = [], 0
         if waiting:
             yield chunk(pa.Table.from_batches(waiting))
+        give_back()
 
     return run
 
@@ -209,25 +213,29 @@ def _requests(n: int, buckets: int):
                 spans = [(cut[b], cut[b + 1]) for b in own.tolist()]
                 arrays = [pa.array(own, pa.int32()), pa.array([n] * len(own), pa.int32()), pa.array([chunk.part] * len(own), pa.int64()), pa.array([pack_sorted(keys[a:z]) for a, z in spans], pa.binary()), pa.array([pack_numbers(counts[a:z]) for a, z in spans], pa.binary()), pa.array([pack_numbers(np.packbits(held[a:z])) for a, z in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "ord", "part", "keys", "counts", "held"])
+        give_back()
 
     return run
 
 
-def _merge(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's keys, distinct keys, place of each row's keys among them, summed and single counts, of one bucket and order."""
+def _merge(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many keys each row has, distinct keys, place of each row's keys among them, summed and single counts, of one bucket and order."""
     keys = [unpack_sorted(b) for b in group["keys"].to_pylist()]
-    counts = np.concatenate([unpack_numbers(b).astype(np.int64) for b in group["counts"].to_pylist()])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sizes, keys = [len(k) for k in keys], np.concatenate(keys)
+    distinct, at = np.unique(keys, return_inverse=True)
+    del keys
+    counts = np.concatenate([unpack_numbers(b) for b in group["counts"].to_pylist()]).astype(np.int64)
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, at, counts)
-    return keys, distinct, at, total, counts
+    return sizes, distinct, at, total, counts
 
 
+@giving_back
 def _answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """Counts over all chunks for every row of a bucket, and what the bucket adds to the counts of counts."""
     group = group.sort_by("part")
-    keys, distinct, at, total, counts = _merge(group)
-    held = np.concatenate([_bits(b, len(k)) for b, k in zip(group["held"].to_pylist(), keys)])
+    sizes, distinct, at, total, counts = _merge(group)
+    held = np.concatenate([_bits(b, k) for b, k in zip(group["held"].to_pylist(), sizes)])
     wanted = np.zeros(len(distinct), bool)
     wanted[at[held]] = True
     owner = np.full(len(distinct), -1)
@@ -235,7 +243,7 @@ def _answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     owner[at[trained]] = trained
     owned = np.zeros(len(at), bool)
     owned[owner[owner >= 0]] = True
-    edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    edge = np.concatenate([[0], np.cumsum(sizes)])
     spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
     seen = total[total > 0]
     histogram = np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[1 : K + 2]
@@ -312,6 +320,7 @@ def _score(order: int, buckets: int, stats: Statistics):
             arrays.append(pa.array([pack_numbers(cols[name][a:z]) if name in cols else None for a, z in spans], pa.binary()))
         return pa.table(arrays, names=[x.split()[0] for x in _SUMS.split(", ")])
 
+    @giving_back
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk.read(left, 0)
         train, first = chunk.train(), chunk.first

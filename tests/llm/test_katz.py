@@ -8,9 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import katz
+from lodestar.llm.textcore import buffers, words
 from tests.llm.fixtures import SCHEMA, documents, with_clashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,3 +123,18 @@ def test_packed_arrays_come_back():
         assert (katz.unpack_sorted(katz.pack_sorted(x)) == x).all()
     for x in (np.array([0, 300, 70000]), np.zeros(0, int), np.array([1.5, -2.0])):
         assert (katz.unpack_numbers(katz.pack_numbers(x)) == x).all()
+
+
+def test_a_chunk_s_words_are_hashed_in_parts(monkeypatch):
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    sizes, hashed = [], katz.split_groups
+    monkeypatch.setattr(katz, "HASH_BYTES", 1 << 10)
+    monkeypatch.setattr(katz, "split_groups", lambda col, lower, size: (sizes.append(len(x[2])) or x for x in hashed(col, lower, size)))
+    texts = [" ".join(f"W{k * j % 97}" for j in range(60)) for k in range(50)] + ["", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(52)], "text": pa.array(texts, pa.string())})
+    rows = list(katz._chunks(katz.every_seventh)(iter([batch])))
+    chunk = katz.Chunk.read(rows[0], 0)
+    assert len(rows) == 1 and len(sizes) > 5 and chunk.sizes.tolist() == [60] * 50 + [0, 0]
+    assert (chunk.hashes == words(*buffers(batch.column(1)), True)[0]).all()
