@@ -18,7 +18,7 @@ import numpy as np
 CACHE_ENTRIES = 1_000_000
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 _LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: A run of Latin letters, and punctuation after it.
 _WORD = re.compile(f"({_LETTERS.pattern})([{re.escape(_MARKS)}]*)")
@@ -32,6 +32,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_SPACE = chr(_BYTE_LETTERS[32])
 
 
 class WordIds:
@@ -58,14 +59,17 @@ class WordIds:
         Letters with punctuation after them are two parts, and a lone line break is one of its own.
         """
         alone, parts, ended = [], {}, []
-        word, held = _WORD.fullmatch, cache.get
+        word, held, known_tail, letters = _WORD.fullmatch, cache.get, self.first.get, self._letters
         for w in missing:
             if m := word(w):
                 core, tail = m.groups()
                 if (ids := held(core)) is None:
-                    cache[core] = ids = self._letters(core, lead)
+                    cache[core] = ids = letters(core, lead)
                 if tail:
-                    ended.append((w, ids, tail))
+                    if (after := known_tail(tail)) is None:
+                        ended.append((w, ids, tail))
+                    else:
+                        cache[w] = ids + after
             elif self.newline is not None and (not w or w[0].isspace() or w[-1].isspace()):
                 cache[w] = None
             elif self.newline is not None and "\n" in w:
@@ -100,9 +104,10 @@ class WordIds:
 
     def _letters(self, w: str, lead: str) -> bytes:
         """A run of Latin letters is one part of the split, so the library's merges can be asked for directly."""
-        text = lead + w if self.newline is not None else w.lower()
-        if lead or not w.isascii():
-            text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if w.isascii():
+            text = w.lower() if self.newline is None else _SPACE + w if lead else w
+        else:
+            text = (lead + w if self.newline is not None else w.lower()).encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _encode(self, cache: dict, stretches: list[str], lead: str) -> None:
@@ -152,34 +157,30 @@ class WordIds:
 
     def _words(self, texts: list[str | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
-        new: set[str] = set()
         cache = self.first = self.cache
-        for ws in split:
-            new.update(ws)
-        missing = [w for w in new if w not in cache]
-        if missing:
-            self._fill(cache, missing, "")
+        if missing := set().union(*split).difference(cache):
+            self._fill(cache, list(missing), "")
         get = cache.__getitem__
-        return [self.whole(t) if t and _CONTROL.search(t) else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
+        return [self.whole(t) if t and any(c in t for c in _CONTROL) else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
     def _bytes(self, texts: list[str | None]) -> list[bytes]:
         split = [t.split(" ") if t else None for t in texts]
         heads = {ws[0] for ws in split if ws}
-        new: set[str] = set()
-        for ws in split:
-            if ws:
-                new.update(ws)
+        new = set().union(*filter(None, split))
         for cache, seen, lead in ((self.first, heads, ""), (self.cache, new, " ")):
-            missing = [w for w in seen if w not in cache]
-            if missing:
-                self._fill(cache, missing, lead)
+            if missing := seen.difference(cache):
+                self._fill(cache, list(missing), lead)
         get, out = self.cache.__getitem__, []
         for t, ws in zip(texts, split):
             if not ws:
                 out.append(b"")
                 continue
-            ids = [self.first[ws[0]], *map(get, ws[1:])]
-            out.append(self.whole(t) if None in ids else b"".join(ids))
+            ids = [*map(get, ws)]
+            ids[0] = self.first[ws[0]]
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a stretch that the split could join with a neighbour has no ids of its own
+                out.append(self.whole(t))
         return out
 
 
