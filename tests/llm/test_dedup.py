@@ -350,3 +350,48 @@ def test_stage_links_from_four_fifths_and_query_from_85(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
     assert {r.doc_id for r in minhash_dedup.near_duplicates(docs).collect() if r.kept} == {0, 1, 2}
+
+
+@pytest.mark.parametrize(("pairs", "least"), [(2048, 8), (64, 1)])
+def test_batches_of_pairs_agree_with_edit_distance(monkeypatch, pairs, least):
+    """At lengths around the words of a batch, mixed alphabets, and edits around those allowed."""
+    from lodestar.llm import edit_batches
+
+    monkeypatch.setattr(edit_batches, "PAIRS", pairs)
+    monkeypatch.setattr(edit_batches, "LEAST", least)
+    rng = random.Random(pairs)
+    a, b = [], []
+    for _ in range(600):
+        s = [rng.choice("abcdefgh é日") for _ in range(rng.choice([5, 20, 63, 64, 65, 100, 128, 129, 200, 300]))]
+        o = list(s)
+        for _ in range(int(len(s) * rng.choice([0, 0.1, 0.18, 0.2, 0.22, 0.25, 0.4]))):
+            i = rng.randrange(len(o))
+            o[i : i + rng.choice([0, 1, 1])] = rng.choice([[], ["x"], ["a"]]) if len(o) > 2 else ["x"]
+        a.append("".join(s))
+        b.append("".join(o))
+    want = [lev(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)]
+    got = line_dedup._agree([x.encode() for x in a], [x.encode() for x in b])
+    assert got.tolist() == want and 100 < sum(want) < 500
+
+
+def test_equal_lines_are_joined_in_arrays():
+    """Of every task's equal lines one comes on, so a common line gives no long group; the first place and all occurrences count."""
+    texts = [f"the one common line\nown line {k % 7} of document number {k}" for k in range(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([5] * 300, pa.int64()), pa.array(texts)], names=["doc", "tie", "text"])
+    lines = pa.Table.from_batches(line_dedup._lines(iter([rows]))).to_batches(max_chunksize=97)
+    dealt = [x for part in (lines[3:], lines[:3]) for x in line_dedup._dealt_lines(4, iter(part))]
+    assert sum(len(v) // 8 for x in dealt for v in x.column(1).to_pylist()) == 302
+    kinds = pa.Table.from_batches(line_dedup._kinds(iter(dealt))).to_pylist()
+    known = {(r["node"], r["twin"]): r for x in lines for r in x.to_pylist()[::-1]}
+    assert len(kinds) == 301 and sorted(x["times"] for x in kinds) == [1] * 300 + [300]
+    common = next(x for x in kinds if x["times"] == 300)
+    assert common["first"] == {"doc": 0, "line": 0, "tie": 5}
+    assert all(x[c] == known[x["node"], x["twin"]][c] for x in kinds for c in line_dedup._KEYS)
+
+
+def test_workers_give_back_memory_after_a_task(monkeypatch):
+    from lodestar.llm import textcore
+
+    given = []
+    monkeypatch.setattr(textcore, "give_back", lambda: given.append(1))
+    assert list(textcore.returning(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and given == [1]
