@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from itertools import combinations
 import re
 from collections import Counter
 
@@ -389,6 +390,54 @@ def test_equal_lines_are_joined_in_arrays():
     assert all(x[c] == known[x["node"], x["twin"]][c] for x in kinds for c in line_dedup._KEYS)
 
 
+def test_lines_move_in_cells():
+    """One row of Spark stands for many lines, and gives them all back."""
+    from lodestar.llm import scratch
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array([None if k % 3 else f"line {k}".encode() for k in range(2500)], pa.binary())], names=["node", "raw"])
+    cells = list(scratch.packed(iter([rows]), ["node"], ["raw", "node"]))
+    assert [x["n"].to_pylist() for x in cells] == [[1024], [1024], [452]]
+    assert pa.Table.from_batches(scratch.unpacked(x.select(["cell1"]) for x in cells)).equals(pa.Table.from_batches([rows.select(["raw", "node"])]))
+
+
+def test_rows_of_small_buckets_come_as_pairs():
+    """All pairs of two or three rows; rows of larger buckets, and of keys met within a task, stay."""
+    key, node = np.array([1, 1, 2, 2, 2, 3, 3, 3, 3, 4, 5], np.uint64), np.array([7, 8, 1, 2, 3, 1, 2, 3, 4, 9, 6], np.int64)
+    alone = np.packbits(np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 1], bool)).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), *(pa.array(x, pa.binary()) for x in ([key.tobytes(), key[9:10].tobytes()], [node.tobytes(), np.array([5], np.int64).tobytes()], [alone, b""]))], names=["bucket", "keys", "nodes", "alone"])
+    out = pa.Table.from_batches(line_dedup._met(iter([batch]))).to_pylist()
+    assert sorted((x["node"], x["other"]) for x in out if x["other"] is not None) == [(2, 1), (3, 1), (3, 2), (8, 7)]
+    assert sorted((x["key"], x["node"]) for x in out if x["other"] is None) == [(3, 1), (3, 2), (3, 3), (3, 4), (4, 5), (4, 9)]
+
+
+def test_filter_holds_all_nodes_and_few_others():
+    rng = np.random.default_rng(5)
+    nodes, others = rng.integers(-(2**63), 2**63, (2, 40_000))
+    size = 1 << 19
+    rows = pa.RecordBatch.from_arrays([pa.array(nodes[:30_000]), pa.array(np.append(nodes[30_000:], nodes[:20_000]), mask=np.arange(30_000) >= 10_000)], names=["node", "other"])
+    slices = {r["slice"]: r["slots"] for r in pa.Table.from_batches(line_dedup._sliced(size, line_dedup._slotted(size, iter([rows])))).to_pylist()}
+    bits = np.frombuffer(b"".join(slices[k] for k in range(line_dedup.SLICES)), np.uint8)
+    assert len(bits) * 8 == size and line_dedup._maybe(bits, nodes).all() and line_dedup._maybe(bits, others).mean() < 0.05
+
+
+def test_pairs_that_span_a_dense_block_stay_in_its_tree(spark, monkeypatch):
+    """Also where a sparse block has them too, so that all likely pairs of the dense block are compared."""
+    monkeypatch.setattr(buckets, "BLOCK", 8)
+    monkeypatch.setattr(buckets, "FIRST", 1)
+    rows, content, key = [], [], 0
+    for g in range(8):
+        core, fill = [100 * g + k for k in range(8)], [100 * g + 50 + k for k in range(9)]
+        groups = [core, *([core[0], *fill[k : k + 3]] for k in (0, 3, 6)), *(list(x) for x in combinations(core, 4) if not {core[3], core[6]} <= set(x))]
+        for group in groups:
+            key += 1
+            rows += [(key, x, 10, 0) for x in group]
+        content += [(x, f"{g} {'both' if x in (core[3], core[6]) else x}".encode()) for x in core + fill]
+    likely = lambda a, b, c, d: np.ones(np.broadcast(a, c).shape, bool)
+    table = spark.createDataFrame(content, "node long, content binary")
+    roots = buckets.link_shared(spark.createDataFrame(rows, buckets.ROWS), likely, lambda named: table.join(named, "node", "left_semi"), lambda a, b: a == b, few=2)
+    assert sorted((r.id, r.root) for r in roots.collect()) == [(100 * g + 6, 100 * g + 3) for g in range(8)]
+
+
 def test_workers_give_back_memory_after_a_task(monkeypatch):
     from lodestar.llm import textcore
 
