@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators.index import TF_CAP, Index, dictionary_of, stats_of
+from lodestar.operators.index import TF_CAP, Index, dictionary_of, looked_up, restricted, stats_of
 from lodestar.operators.rankers import Ranker, finite
 
 
 def with_postings(index: Index, postings: DataFrame) -> Index:
-    return replace(index, postings=postings, dictionary=dictionary_of(postings))
+    return replace(index, postings=postings, dictionary=dictionary_of(postings), exploded=None, sized=None)
 
 
 def static_prune(index: Index, k: int) -> DataFrame:
@@ -58,19 +58,20 @@ def keep_listed(index: Index, terms: DataFrame) -> DataFrame:
 
 def culled(index: Index, dictionary: DataFrame) -> Index:
     """The index with the postings of a culled dictionary; document lengths stay as they are."""
-    return replace(index, postings=index.postings.join(dictionary.select("term"), "term", "left_semi"), dictionary=dictionary)
+    return replace(index, postings=index.postings.join(dictionary.select("term"), "term", "left_semi"), dictionary=dictionary, exploded=None, sized=None)
 
 
-def impacts(index: Index, ranker: Ranker, bits: int | None = 8) -> DataFrame:
+def impacts(index: Index, ranker: Ranker, bits: int | None = 8, terms: list[str] | None = None) -> DataFrame:
     """``term, docid, dl, rsv, impact``: every posting's score as an integer from 1 to 2^bits - 1.
 
     The smallest and largest score come from one global aggregate. Without ``bits`` their number follows the
-    collection: 5.4 + 5.4e-4 times the square root of the number of documents.
+    collection: 5.4 + 5.4e-4 times the square root of the number of documents. With ``terms``, the rows of those only, on
+    the scale of all.
     """
     if not ranker.quantable:
         raise ValueError(f"{ranker.name} can't be stored as impacts")
-    rows = index.postings.join(index.dictionary.select("term", "cf", "df"), "term").crossJoin(F.broadcast(index.stats)).withColumn("qlen", F.lit(1.0))
-    scored = rows.select("term", "docid", "dl", finite(ranker.term()).alias("rsv"))
+    score = lambda of: looked_up(of).crossJoin(F.broadcast(index.stats)).withColumn("qlen", F.lit(1.0)).select("term", "docid", "dl", finite(ranker.term()).alias("rsv"))
+    scored = score(index)
     ends = scored.agg(F.min("rsv").alias("low"), F.max("rsv").alias("high"))
     if bits is None:
         ends = ends.crossJoin(index.stats.select(F.floor(5.4 + 5.4e-4 * F.sqrt("n")).alias("bits")))
@@ -78,14 +79,16 @@ def impacts(index: Index, ranker: Ranker, bits: int | None = 8) -> DataFrame:
         ends = ends.withColumn("bits", F.lit(bits))
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     scaled = (F.col("rsv") - F.col("low")) / span * (F.pow(F.lit(2.0), F.col("bits")) - 2) + 1
-    return scored.crossJoin(F.broadcast(ends)).select("term", "docid", "dl", "rsv", scaled.cast("long").alias("impact"))
+    shown = scored if terms is None else score(restricted(index, terms))
+    return shown.crossJoin(F.broadcast(ends)).select("term", "docid", "dl", "rsv", scaled.cast("long").alias("impact"))
 
 
-def quantised(index: Index, ranker: Ranker, bits: int | None = 8) -> Index:
-    """An index whose counts are impacts, for the impact ranker."""
-    rows = impacts(index, ranker, bits)
+def quantised(index: Index, ranker: Ranker, bits: int | None = 8, terms: list[str] | None = None) -> Index:
+    """An index whose counts are impacts, for the impact ranker; of ``terms`` only, if they are known before."""
+    rows = impacts(index, ranker, bits, terms)
     postings = rows.select("term", "docid", "dl", F.col("impact").alias("raw"), F.col("impact").alias("tf"))
-    return replace(index, postings=postings)
+    known = index.dictionary if terms is None else restricted(index, terms).dictionary
+    return replace(index, postings=postings, dictionary=known, exploded=None, sized=None)
 
 
 def impact_ordered(index: Index, partitions: int) -> DataFrame:
@@ -104,7 +107,7 @@ def merge(indexes: list[Index]) -> Index:
 def shifted(index: Index, offset: int) -> Index:
     """The index with docids moved up, for merging collections that number their documents alike."""
     move = lambda df: df.withColumn("docid", F.col("docid") + offset)
-    return replace(index, docs=move(index.docs), postings=move(index.postings))
+    return replace(index, docs=move(index.docs), postings=move(index.postings), exploded=index.exploded and move(index.exploded), sized=index.sized and move(index.sized))
 
 
 def shards(index: Index, n: int) -> list[Index]:

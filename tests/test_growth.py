@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import index as ix, rankers, search as se
+from lodestar.operators import index as ix, maintain, rankers, search as se
 
 TEXTS = [(1, "ponies pony pony red Éa 12"), (2, "pony the the cats 12a"), (3, "red cat the of"), (4, "..."), (5, None), (None, "red")]
 
