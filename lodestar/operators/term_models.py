@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.index import Index
+from lodestar.operators.index import Index, looked_up, restricted, vocabulary
 
 
 def _shape(k1: float) -> float:
@@ -35,7 +35,7 @@ def secant_k1(mean_log: float, steps: int = 60) -> float:
 
 def bm25t_k1(index: Index, terms: list[str] | None = None, b: float = 0.2) -> DataFrame:
     """``term, k1`` from the mean of ln(c' + 1) over the term's documents."""
-    postings = index.postings.filter(F.col("term").isin(terms)) if terms is not None else index.postings
+    postings = (index if terms is None else restricted(index, terms)).postings
     part = postings.crossJoin(F.broadcast(index.stats)).withColumn("t", F.col("tf") / ((1 - b) + b * F.col("dl") / F.col("adl")))
     means = part.groupBy("term").agg(F.avg(F.log(F.col("t") + 1)).alias("m"))
 
@@ -82,7 +82,7 @@ def fit_adaptive(counts: dict[int, int], n: int) -> tuple[float, float]:
 
 def bm25adpt_k1(index: Index, terms: list[str] | None = None, b: float = 0.3) -> DataFrame:
     """``term, k1, gain`` from each term's histogram of rounded normalised counts."""
-    postings = index.postings.filter(F.col("term").isin(terms)) if terms is not None else index.postings
+    postings = (index if terms is None else restricted(index, terms)).postings
     part = postings.crossJoin(F.broadcast(index.stats)).withColumn("r", F.round(F.col("tf") / ((1 - b) + b * F.col("dl") / F.col("adl"))).cast("int"))
     histogram = part.groupBy("term", "r", "n").agg(F.count("*").alias("d")).groupBy("term", "n").agg(F.map_from_entries(F.collect_list(F.struct("r", "d"))).alias("counts"))
 
@@ -105,9 +105,12 @@ def tfidf_lengths(index: Index, g: float = 0.5) -> DataFrame:
     """``docid, uniq, tfidf_len, tfidf_disc, v``: the vectors of the tf.idf Pitman-Yor ranker."""
     from lodestar.operators.rankers import discounted
 
-    size = index.dictionary.agg(F.count("*").cast("double").alias("v"))
-    uniq = index.postings.groupBy("docid").agg(F.count("*").alias("uniq"))
-    rows = index.postings.join(index.dictionary.select("term", "df"), "term").join(uniq, "docid").crossJoin(F.broadcast(index.stats.select("n")))
+    size = vocabulary(index).agg(F.count("*").cast("double").alias("v"))
+    if index.sized is not None:
+        held = looked_up(index, index.sized.withColumn("uniq", F.col("uniq").cast("long")))
+    else:
+        held = looked_up(index).join(index.postings.groupBy("docid").agg(F.count("*").alias("uniq")), "docid")
+    rows = held.crossJoin(F.broadcast(index.stats.select("n")))
     w = F.log(1 + F.col("tf") / F.col("uniq")) * F.log(F.col("n") / F.col("df"))
     summed = rows.groupBy("docid", "uniq").agg(F.sum(w).alias("tfidf_len"), F.sum(discounted(w, g)).alias("tfidf_disc"))
     return summed.crossJoin(F.broadcast(size))
