@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.stem import STEMMERS, stem
-from lodestar.operators.index import TF_CAP, Index, dictionary_of
+from lodestar.operators.index import TF_CAP, Index, dictionary_of, restricted_to, vocabulary
 from lodestar.operators.rankers import Ranker
 from lodestar.operators.search import query_table, score, top
+from lodestar.storage import checkpointed
 
 RELATIONSHIPS = ("synonym", "antonym", "holonym", "meronym", "hypernym", "hyponym")
 #: Variants of the query's terms up to which they are broadcast; beyond that the join is a shuffle.
@@ -16,11 +19,19 @@ BROADCAST_VARIANTS = 100_000
 
 
 def variants_by_stem(index: Index, terms: list[str], stemmer: str) -> DataFrame:
-    """``qterm, term``: vocabulary with the stem of a query term and its first characters; numbers and tags stand alone."""
+    """``qterm, term``: vocabulary with the stem of a query term and its first characters; numbers and tags stand alone.
+
+    Terms that can't match by their first characters go before they are stemmed.
+    """
     asked = index.spark.createDataFrame([(t,) for t in sorted(set(terms))], "qterm string")
     asked = asked.withColumn("stem", stem(F.col("qterm"), stemmer))
     n = STEMMERS[stemmer].prefix
-    known = index.dictionary.select("term").withColumn("stem", stem(F.col("term"), stemmer))
+    stems = [r.stem for r in asked.select("stem").distinct().collect()]
+    likely = F.substring("term", 1, n).isin([s[:n] for s in stems]) | F.col("term").isin(sorted(set(terms)))
+    known = vocabulary(index)
+    if not any(re.match("[A-Z0-9]", s) for s in stems):
+        known = known.filter(likely)
+    known = known.withColumn("stem", stem(F.col("term"), stemmer))
     both = known.join(F.broadcast(asked), "stem")
     return both.filter((F.substring("term", 1, n) == F.substring("stem", 1, n)) | (F.col("term") == F.col("qterm")) | F.col("stem").rlike("^[A-Z0-9]")).select("qterm", "term")
 
@@ -37,9 +48,11 @@ def conflated(index: Index, variants: DataFrame, weight: str | None = None) -> I
 
     ``weight`` names a column of ``variants`` that multiplies counts (rounded down, at least 1).
     """
-    few = variants.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS
+    variants = checkpointed(variants)
+    few = variants.count() <= BROADCAST_VARIANTS
+    held = restricted_to(index, variants.select("term").distinct()).postings if few else index.postings
     raw = F.col("raw") if weight is None else F.greatest(F.floor(F.col("raw") * F.col(weight)), F.lit(1))
-    merged = index.postings.join(F.broadcast(variants) if few else variants, "term").groupBy(F.col("qterm").alias("term"), "docid", "dl").agg(F.sum(raw).alias("raw"))
+    merged = held.join(F.broadcast(variants) if few else variants, "term").groupBy(F.col("qterm").alias("term"), "docid", "dl").agg(F.sum(raw).alias("raw"))
     postings = merged.withColumn("tf", F.least("raw", F.lit(TF_CAP)))
     return Index(index.docs, postings, dictionary_of(postings), index.stats)
 
@@ -63,9 +76,12 @@ def thesaurus_terms(topics: dict[int, list[str]], thesaurus: list[tuple[str, str
 def term_similarity(index: Index, pairs: DataFrame) -> DataFrame:
     """``qterm, term, similarity``: cosine of the terms' tf.idf vectors over documents.
 
-    Both vectors of a pair meet on docid by a join of postings; no pair of documents is formed.
+    Both vectors of a pair meet on docid by a join of postings; no pair of documents is formed. Only the pairs' own terms are
+    counted.
     """
-    weighed = index.postings.join(index.dictionary.select("term", "df"), "term").crossJoin(F.broadcast(index.stats.select("n"))).select("term", "docid", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
+    pairs = checkpointed(pairs)
+    small = restricted_to(index, pairs.select("term").unionByName(pairs.select(F.col("qterm").alias("term"))).distinct())
+    weighed = small.postings.join(F.broadcast(small.dictionary.select("term", "df")), "term").crossJoin(F.broadcast(index.stats.select("n"))).select("term", "docid", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
     named = F.broadcast(pairs.select("qterm", "term"))
     own = weighed.join(named, "term").select("qterm", "term", "docid", F.col("w").alias("b"))
     query = weighed.withColumnRenamed("term", "qterm").join(F.broadcast(pairs.select("qterm").distinct()), "qterm").select("qterm", "docid", F.col("w").alias("a"))
