@@ -13,7 +13,7 @@ from lodestar.functions.stem import stem
 from lodestar.operators import boolean, evaluate, expand, feedback, graph, index as ix, maintain, pregen, present, rankers, readability, search as se, term_models, topsig
 from lodestar.plans import nexi, topics as tp
 from lodestar.sources import filters, readers
-from lodestar.storage import shared_folder
+from lodestar.storage import checkpointed, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,7 +203,8 @@ def rank_pregen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.search(maintain.quantised(_index(spark, sf_dir), rankers.bm25()), TOPICS, rankers.impact(), K)
+    terms = [t for ts in TOPICS.values() for t in ts]
+    return se.search(maintain.quantised(_index(spark, sf_dir), rankers.bm25(), terms=terms), TOPICS, rankers.impact(), K)
 
 
 def rank_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,7 +474,8 @@ def topsig_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topsig_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _index(spark, sf_dir)
-    return topsig.feedback_signatures(i, topsig.search_signatures(i, JUDGED, K), 5, K)
+    stored = checkpointed(topsig.signed(i))
+    return topsig.feedback_signatures(i, topsig.search_signatures(i, JUDGED, K, stored=stored), 5, K, stored=stored)
 
 
 RANKED: dict[str, Callable[[], rankers.Ranker]] = {
