@@ -21,7 +21,8 @@ BROADCAST_VARIANTS = 100_000
 def variants_by_stem(index: Index, terms: list[str], stemmer: str) -> DataFrame:
     """``qterm, term``: vocabulary with the stem of a query term and its first characters; numbers and tags stand alone.
 
-    Terms that can't match by their first characters go before they are stemmed.
+    Terms that can't match by their first characters go before they are stemmed. A stem that could be null would be asked
+    for below the distinct terms, and every token be stemmed.
     """
     asked = index.spark.createDataFrame([(t,) for t in sorted(set(terms))], "qterm string")
     asked = asked.withColumn("stem", stem(F.col("qterm"), stemmer))
@@ -31,7 +32,7 @@ def variants_by_stem(index: Index, terms: list[str], stemmer: str) -> DataFrame:
     known = vocabulary(index)
     if not any(re.match("[A-Z0-9]", s) for s in stems):
         known = known.filter(likely)
-    known = known.withColumn("stem", stem(F.col("term"), stemmer))
+    known = known.withColumn("stem", F.coalesce(stem(F.col("term"), stemmer), F.lit("")))
     both = known.join(F.broadcast(asked), "stem")
     return both.filter((F.substring("term", 1, n) == F.substring("stem", 1, n)) | (F.col("term") == F.col("qterm")) | F.col("stem").rlike("^[A-Z0-9]")).select("qterm", "term")
 
