@@ -11,6 +11,8 @@ from lodestar.operators.rankers import Ranker
 from lodestar.operators.search import candidates, query_table, score, search, top
 from lodestar.storage import checkpointed
 
+#: Chosen documents up to which they reach the scan as a filter, so that no other text is tokenised.
+LISTED = 10_000
 ALPHABETIC = r"^\p{L}+$"
 
 
@@ -26,8 +28,10 @@ def divergent_terms(index: Index, chosen: DataFrame, n: int, by: str = "topic")
     the collection only their terms.
     """
     chosen = checkpointed(chosen)
-    own = index.postings.join(F.broadcast(chosen.select("docid").distinct()), "docid", "left_semi")
-    counts = checkpointed(own.join(F.broadcast(chosen), "docid").groupBy(by, "term").agg(F.sum("raw").alias("n")))
+    rows, n_of = (index.postings, F.sum("raw")) if index.exploded is None else (index.exploded, F.count("*"))
+    ids = [r.docid for r in chosen.select("docid").distinct().limit(LISTED + 1).collect()]
+    own = rows.filter(F.col("docid").isin(ids)) if len(ids) <= LISTED else rows.join(F.broadcast(chosen.select("docid").distinct()), "docid", "left_semi")
+    counts = checkpointed(own.join(F.broadcast(chosen), "docid").groupBy(by, "term").agg(n_of.alias("n")))
     known = frequencies(index, counts.select("term").distinct())
     total = counts.groupBy(by).agg(F.sum("n").alias("total"))
     words = counts.filter(F.col("term").rlike(ALPHABETIC)).join(total, by).join(known, "term", "left").crossJoin(F.broadcast(index.stats.select("l")))
